@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from depweave.llm import byte_bpe, token_counts
+from depweave.llm import byte_bpe, source_mixing, token_counts, tool_calls, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_url_filter": url_filter.query,
+    "op5_tool_calls": tool_calls.query,
     "op8_byte_bpe": byte_bpe.query,
+    "op9_source_mixing": source_mixing.query,
+}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter.SQL,
+    "op5_tool_calls": tool_calls.SQL,
+    "op9_source_mixing": source_mixing.SQL,
 }
-ORACLES: dict[str, str] = {}
