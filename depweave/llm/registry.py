@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depweave.llm import byte_bpe, source_mixing, token_counts, tool_calls, url_filter
+from depweave.llm import byte_bpe, simhash, source_mixing, token_counts, tool_calls, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_tool_calls": tool_calls.query,
     "op8_byte_bpe": byte_bpe.query,
     "op9_source_mixing": source_mixing.query,
+    "op10_simhash": simhash.query,
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.SQL,
