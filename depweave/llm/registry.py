@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from depweave.llm import byte_bpe, language_id, simhash, source_mixing, token_counts, tool_calls, url_filter
+from depweave.llm import byte_bpe, language_id, simhash, source_mixing, substring_dedup, token_counts, tool_calls, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_url_filter": url_filter.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_language_id": language_id.query,
     "op5_tool_calls": tool_calls.query,
     "op8_byte_bpe": byte_bpe.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.SQL,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_language_id": language_id.query,
     "op5_tool_calls": tool_calls.SQL,
     "op9_source_mixing": source_mixing.SQL,
