@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depweave.llm import byte_bpe, language_id, simhash, source_mixing, substring_dedup, token_counts, tool_calls, url_filter
+from depweave.llm import byte_bpe, exact_topk, language_id, lattice_dedup, simhash, source_mixing, substring_dedup, token_counts, tool_calls, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.query,
     "op4_language_id": language_id.query,
     "op5_tool_calls": tool_calls.query,
+    "op6_exact_topk": exact_topk.query,
+    "op7_lattice_dedup": lattice_dedup.query,
     "op8_byte_bpe": byte_bpe.query,
     "op9_source_mixing": source_mixing.query,
     "op10_simhash": simhash.query,
@@ -19,5 +21,7 @@ ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.query,
     "op4_language_id": language_id.query,
     "op5_tool_calls": tool_calls.SQL,
+    "op6_exact_topk": exact_topk.SQL,
+    "op7_lattice_dedup": lattice_dedup.SQL,
     "op9_source_mixing": source_mixing.SQL,
 }
