@@ -1,5 +1,336 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries: the graph operators over graphs that the driver's tables hold.
+
+G_fk, acyclic: order -> customer -> nation <- supplier, nation -> region. G_ev, cyclic: consecutive events of a user.
+T_url: page urls as paths of segments. L_href: links in pages.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from depweave.functions import paths
+from depweave.operators import closure, prefix, queries, resolve, select, trace
+from depweave.schema import violations
+from depweave.session import materialise
+from depweave.sources import vcs
+
+REGION = "r0"
+IMPACT_ITEMS = 25
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _key(letter: str, column: str):
+    return F.concat(F.lit(letter), F.col(column).cast("string"))
+
+
+def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = lambda t, a, ca, b, cb: _t(spark, sf_dir, t).select(_key(a, ca).alias("src"), _key(b, cb).alias("dst"))
+    out = link("orders", "o", "o_orderkey", "c", "o_custkey")
+    for args in (("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")):
+        out = out.unionByName(link(*args))
+    return out
+
+
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string"), F.col("event_type"))
+    nxt = F.lead(node).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    steps = _t(spark, sf_dir, "events").where(F.col("event_id") % 7 == 0).select(node.alias("src"), nxt.alias("dst"))
+    return steps.where("dst IS NOT NULL")
+
+
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (url): no scheme, query, fragment or slash at the end."""
+    url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", r"^[^:]*://", ""), r"[?#].*$", ""), "/+$", "")
+    return _t(spark, sf_dir, "pages").select(url.alias("url")).distinct()
+
+
+def url_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, and host/language for hosts that begin with www or m."""
+    u = url_paths(spark, sf_dir)
+    host = paths.first_segment("url", "/")
+    lang = u.where(F.col("url").rlike(r"^(www|m)\.")).select(F.array_join(F.slice(F.split("url", "/"), 1, 2), "/").alias("prefix"))
+    return u.where(~F.col("url").rlike(r"^blog\.")).select(host.alias("prefix")).unionByName(lang).distinct()
+
+
+def closure_fk(spark, sf_dir):
+    return closure.transitive_closure(fk_edges(spark, sf_dir))
+
+
+def closure_ev(spark, sf_dir):
+    return closure.transitive_closure(event_edges(spark, sf_dir))
+
+
+def affected_region(spark, sf_dir):
+    hit = closure.reachable(fk_edges(spark, sf_dir), spark.createDataFrame([(REGION,)], "node string"), backwards=True)
+    return hit.where(F.col("node").startswith("o")).select(F.expr("substring(node, 2)").cast("long").alias("o_orderkey"))
+
+
+def depends_order(spark, sf_dir):
+    """What every hundredth order reaches."""
+    seeds = _t(spark, sf_dir, "orders").where("o_orderkey % 100 = 1").select(_key("o", "o_orderkey").alias("node"))
+    return closure.transitive_closure(fk_edges(spark, sf_dir), seeds)
+
+
+def affected_suppliers(spark, sf_dir):
+    """Suppliers that reach a region, by the operator over modules: suppliers are files, nodes between have none."""
+    edges = fk_edges(spark, sf_dir)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    modules = nodes.select("node", F.when(F.col("node").startswith("s"), F.col("node")).alias("fs"), F.col("node").alias("py"), F.lit(None).cast("string").alias("pkg"))
+    reach = closure.transitive_closure(edges.where(~F.col("src").startswith("o")))
+    return queries.affected_files(reach, modules, queries.nodes_of_modules(modules, [REGION]))
+
+
+def local_affected_by_segment(spark, sf_dir):
+    hit = affected_region(spark, sf_dir)
+    own = _t(spark, sf_dir, "orders").join(hit, "o_orderkey", "left_semi").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return own.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_orderkey").alias("sum_keys"))
+
+
+def cycle_members(spark, sf_dir):
+    return closure.cycle_members(closure_ev(spark, sf_dir))
+
+
+def scc_components(spark, sf_dir):
+    edges = event_edges(spark, sf_dir)
+    return closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
+
+
+def condensed_edges(spark, sf_dir):
+    edges = materialise(event_edges(spark, sf_dir), "events")
+    return closure.condense(edges, closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges))
+
+
+def leaf_nodes(spark, sf_dir):
+    edges = fk_edges(spark, sf_dir)
+    return closure.leaf_nodes(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
+
+
+def parent_reify_url(spark, sf_dir):
+    modules = url_paths(spark, sf_dir).select(F.col("url").alias("node"), F.col("url").alias("fs"), F.col("url").alias("py"), F.lit(None).cast("string").alias("pkg"))
+    _, edges = closure.parent_edges(modules, "/")
+    return edges
+
+
+def parent_created_url(spark, sf_dir):
+    modules = url_paths(spark, sf_dir).select(F.col("url").alias("node"), F.col("url").alias("fs"), F.col("url").alias("py"), F.lit(None).cast("string").alias("pkg"))
+    made, _ = closure.parent_edges(modules, "/")
+    return made.select("node", "py")
+
+
+def matches_url(spark, sf_dir):
+    return prefix.matches(url_paths(spark, sf_dir), "url", url_prefixes(spark, sf_dir), "/")
+
+
+def longest_prefix_url(spark, sf_dir):
+    return prefix.longest_prefix(url_paths(spark, sf_dir), "url", url_prefixes(spark, sf_dir), "/")
+
+
+def strict_prefix_url(spark, sf_dir):
+    probes = url_paths(spark, sf_dir).select(F.explode(paths.segment_prefixes("url", "/")).alias("value")).distinct()
+    return prefix.strict_prefix(probes, "value", url_prefixes(spark, sf_dir), "/")
+
+
+def suffixes_url(spark, sf_dir):
+    hosts = url_paths(spark, sf_dir).select(paths.first_segment("url", "/").alias("host")).distinct()
+    return prefix.suffixes_of(hosts, "host", url_paths(spark, sf_dir).withColumnRenamed("url", "prefix"), "/", join=".")
+
+
+def wildcard_children_url(spark, sf_dir):
+    hosts = url_paths(spark, sf_dir).select(F.concat_ws("/", paths.first_segment("url", "/"), F.lit("en"), F.lit("*")).alias("pattern")).distinct()
+    return prefix.wildcard_children(hosts, "pattern", url_paths(spark, sf_dir), "url", "/")
+
+
+def tracked_urls(spark, sf_dir):
+    return prefix.tracked(url_paths(spark, sf_dir), "url", ["www", "blog"], ["blog.th"], ".")
+
+
+def relative_import_base(spark, sf_dir):
+    """Urls as dotted names, without one, two or more segments by page number."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", r"^[^:]*://", ""), r"[?#].*$", "").alias("u"))
+    return pages.select("page_id", paths.drop_segments(paths.slashes_to_dots("u"), (F.col("page_id") % 6).cast("int")).alias("base"))
+
+
+def extract_links(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+
+
+def unresolved_links(spark, sf_dir):
+    """Link targets that are no page's path, with how many pages name them."""
+    pages = url_paths(spark, sf_dir).select(F.expr("substring(url, length(substring_index(url, '/', 1)) + 1)").alias("href")).distinct()
+    lost = extract_links(spark, sf_dir).join(pages, "href", "left_anti")
+    return lost.groupBy("href").agg(F.count_distinct("page_id").alias("n_importers"))
+
+
+def ranked_lookup(spark, sf_dir):
+    """For each page the best existing path of its host: its own with .html, its parent with /1 ... /9, the first that is a page."""
+    u = url_paths(spark, sf_dir)
+    tries = F.array(F.struct(F.lit(0).alias("rank"), F.concat("url", F.lit(".html")).alias("path")), *(F.struct(F.lit(k).alias("rank"), F.concat(paths.parent("url", "/"), F.lit(f"/{k}")).alias("path")) for k in range(1, 300)))
+    each = u.select("url", F.explode(tries).alias("t")).where("t.path IS NOT NULL AND t.path <> url")
+    hits = each.join(u.select(F.col("url").alias("__path")), F.col("t.path") == F.col("__path"), "left_semi")
+    return hits.groupBy("url").agg(F.min_by("t.path", "t.rank").alias("found"))
+
+
+def admitted_files(spark, sf_dir):
+    """Admission over paths made from parts: a .py, .pyi or .pyx by key, some of them packages."""
+    part = _t(spark, sf_dir, "part")
+    stem = F.concat(F.lit("src/m"), (F.col("p_partkey") % 400).cast("string"))
+    ending = F.when(F.col("p_partkey") % 11 == 0, "/__init__.py").when(F.col("p_size") % 3 == 0, ".py").when(F.col("p_size") % 3 == 1, ".pyi").otherwise(".pyx")
+    return resolve.admit(part.select(F.concat(stem, ending).alias("path")).distinct()).select("path")
+
+
+def nearest_ancestor(spark, sf_dir):
+    """For each page url the nearest known prefix."""
+    modules = url_prefixes(spark, sf_dir).select(F.replace("prefix", F.lit("/"), F.lit("·")).alias("p"))
+    modules = modules.select(F.replace(F.replace("p", F.lit("."), F.lit("_")), F.lit("·"), F.lit(".")).alias("py"))
+    modules = modules.select(F.concat(F.lit("<"), "py", F.lit(">")).alias("node"), F.lit(None).cast("string").alias("fs"), "py", F.lit(None).cast("string").alias("pkg"))
+    names = url_paths(spark, sf_dir).select(F.replace(F.replace("url", F.lit("."), F.lit("_")), F.lit("/"), F.lit(".")).alias("name"))
+    return queries.nearest_module(names, "name", modules)
+
+
+def modified_union(spark, sf_dir):
+    hit = affected_region(spark, sf_dir).select(_key("o", "o_orderkey").alias("path"))
+    return select.with_modified(hit, spark.createDataFrame([(REGION,), ("o1",), ("new",)], "path string"))
+
+
+def _items(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    data = F.when(F.col("o_orderkey") % 3 == 0, _key("c", "o_custkey"))
+    return orders.select(F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("name"), _key("o", "o_orderkey").alias("file"), data.alias("data_file"))
+
+
+def keep_predicate(spark, sf_dir):
+    """Items are orders; known are those of odd keys; customers of one region are affected; urgent ones always run."""
+    edges = fk_edges(spark, sf_dir)
+    customers = closure.reachable(edges.where(~F.col("src").startswith("o")), spark.createDataFrame([(REGION,)], "node string"), backwards=True)
+    known = _t(spark, sf_dir, "orders").where("o_orderkey % 10 <> 0").select(_key("o", "o_orderkey").alias("f"))
+    always = spark.createDataFrame([("1-URGENT",), ("o7",)], "name string")
+    exposed = _t(spark, sf_dir, "orders").where("o_totalprice > 250000").select(_key("o", "o_orderkey").alias("f"))
+    return select.keep_flags(_items(spark, sf_dir), known, customers, always, exposed).select("item_id", "keep")
+
+
+def residual_risk(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", _key("o", "o_orderkey").alias("path"))
+    modified = orders.where("o_orderkey % 2 = 0").select("path")
+    return select.residual_risk(modified, orders.where("o_orderkey % 3 = 0").select("path"), orders.where("o_orderkey % 5 <> 0").select("path"), orders.where("o_orderkey % 7 = 0").select("path"), ~F.col("path").endswith("4"))
+
+
+def _impacts(spark, sf_dir):
+    """Commits are days of events, items are users modulo 25; an item is kept if a purchase or a click above the mean touches it."""
+    events = _t(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("commit_id"), (F.col("user_id") % IMPACT_ITEMS).alias("item_id"), "event_type", "value")
+    kept = events.where((F.col("event_type") == "purchase") & (F.col("value") > 20)).select("commit_id", "item_id")
+    unsafe = events.groupBy("commit_id").agg(F.max("value").alias("most"), F.count(F.lit(1)).alias("n")).where("n % 13 = 0").select("commit_id")
+    return select.impact(kept, events.select("commit_id"), IMPACT_ITEMS, unsafe)
+
+
+def impact_commits(spark, sf_dir):
+    return _impacts(spark, sf_dir)
+
+
+def impact_classes(spark, sf_dir):
+    return select.impact_summary(_impacts(spark, sf_dir))
+
+
+def impact_deciles(spark, sf_dir):
+    return select.gain_distribution(_impacts(spark, sf_dir))
+
+
+def _trace(spark, sf_dir):
+    """Events as a trace: a user's type imports its next type; errors failed, some are ignored."""
+    node = F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string"), F.lit("."), F.col("event_type"))
+    nxt = F.lead(node).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    events = _t(spark, sf_dir, "events").select("event_id", "event_type", node.alias("context"), nxt.alias("module"))
+    return events.where("module IS NOT NULL").select("context", "module", F.when(F.col("event_id") % 5 == 0, "error").otherwise("ok").alias("status"), (F.col("event_id") % 11 == 0).alias("is_ignored"))
+
+
+def trace_observed(spark, sf_dir):
+    return trace.observed_edges(_trace(spark, sf_dir))
+
+
+def trace_missing(spark, sf_dir):
+    """Observed pairs that the closure of a seventh of the events lacks."""
+    dotted = lambda c: F.regexp_replace(c, r"^(u\d+)", "$1.")
+    static = closure_ev(spark, sf_dir).select(dotted("src").alias("module"), dotted("dst").alias("dep"))
+    seen = trace.observed_edges(_trace(spark, sf_dir)).select(F.col("src").alias("module"), F.col("dst").alias("dep"))
+    return trace.missing(seen, static)
+
+
+def trace_missing_by_package(spark, sf_dir):
+    found = trace_missing(spark, sf_dir).select("module", "dep")
+    packages = found.select("module").distinct().withColumn("pkg", paths.first_segment("module"))
+    nothing = spark.createDataFrame([], "module string, dep string")
+    return trace.missing_by_package(found, nothing, packages)
+
+
+def trace_with_dynamic(spark, sf_dir):
+    """Lines of orders: parts count for a supplier's users."""
+    lines = _t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    users = lines.select(_key("o", "l_orderkey").alias("module"), _key("s", "l_suppkey").alias("anchor_module"), F.lit("load").alias("anchor_fn")).distinct()
+    imports = lines.where("l_quantity > 45").select(_key("s", "l_suppkey").alias("anchor_module"), F.lit("load").alias("anchor_fn"), _key("p", "l_partkey").alias("dep")).distinct()
+    own = lines.where("l_quantity < 5").select(_key("o", "l_orderkey").alias("module"), _key("p", "l_partkey").alias("dep"))
+    return trace.with_dynamic(own, users, imports)
+
+
+def dynamic_anchors(spark, sf_dir):
+    """Lines of an order as a stack: part brands are functions."""
+    frames = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    frames = frames.select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("depth"), F.col("p_brand").alias("module"), F.col("l_returnflag").alias("fn"))
+    one = lambda *rows: spark.createDataFrame(list(rows), "module string, fn string")
+    brands = _t(spark, sf_dir, "part").select("p_brand").distinct()
+    anchors = brands.where("substring(p_brand, -1) IN ('1', '3')").select(F.col("p_brand").alias("module"), F.lit("A").alias("fn"))
+    return trace.dynamic_anchors(frames, anchors, one(("Brand#12", "N"), ("Brand#1", "N")), implicit=True)
+
+
+def distinct_stacks(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(F.array("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("stack"))
+    return trace.distinct_stacks(rows).select(F.array_join("stack", "|").alias("stack"))
+
+
+def unexpected_per_item(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem")
+    observed = lines.select(F.col("l_orderkey").alias("item"), _key("s", "l_suppkey").alias("file"), _key("p", "l_partkey").alias("dep"))
+    expected = lines.where("l_quantity > 10").select(_key("s", "l_suppkey").alias("file"), _key("p", "l_partkey").alias("dep")).distinct()
+    warned = _t(spark, sf_dir, "part").where("p_size > 25").select(_key("p", "p_partkey").alias("dep"))
+    return trace.unexpected(observed, expected, warned)
+
+
+def _changes(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, ("A", "M", "D", "R100", "?", "!"))), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    return _t(spark, sf_dir, "lineitem").select(
+        _key("c", "l_orderkey").alias("commit_id"), status.alias("status"), _key("p", "l_partkey").alias("path"), F.when(F.col("l_linenumber") % 6 == 3, _key("s", "l_suppkey")).alias("old_path")
+    )
+
+
+def rename_explode(spark, sf_dir):
+    return vcs.modified(_changes(spark, sf_dir))
+
+
+def recent_commits(spark, sf_dir):
+    return vcs.recent_commits(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts")), 20).select("commit_id")
+
+
+def module_violations(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    modules = part.select(
+        F.when(F.col("p_size") % 9 != 0, F.concat(F.lit("f"), (F.col("p_partkey") % 150).cast("string"))).alias("fs"),
+        F.when(F.col("p_size") != 7, F.concat(F.when(F.col("p_size") == 8, F.lit("a/")).otherwise(F.lit("m")), (F.col("p_partkey") % 190).cast("string"))).alias("py"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("pkg"),
+    )
+    return violations(modules)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        closure_fk, closure_ev, affected_region, affected_suppliers, depends_order, local_affected_by_segment, cycle_members, scc_components, condensed_edges, leaf_nodes, parent_reify_url,
+        parent_created_url, matches_url, longest_prefix_url, strict_prefix_url, suffixes_url, wildcard_children_url, tracked_urls, relative_import_base, extract_links, unresolved_links,
+        ranked_lookup, admitted_files, nearest_ancestor, modified_union, keep_predicate, residual_risk, impact_commits, impact_classes, impact_deciles, trace_observed, trace_missing,
+        trace_missing_by_package, trace_with_dynamic, dynamic_anchors, distinct_stacks, unexpected_per_item, rename_explode, recent_commits, module_violations,
+    )
+}
