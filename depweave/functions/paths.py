@@ -98,7 +98,7 @@ def is_test_file(path: Column | str, glob: str | None = None) -> Column:
 
 def comma_list(text: Column | str) -> Column:
     """Items of a comma list, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(_c(text), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(text), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def hex_name(letter: str, number: Column | str) -> Column:

@@ -47,7 +47,7 @@ SQL: dict[str, str] = {
     "scc_components": f"""WITH RECURSIVE {EV}, nodes AS (SELECT src AS node FROM ev UNION SELECT dst FROM ev),
       mutual AS (SELECT a.src AS node, min(a.dst) AS least FROM ev_reach a JOIN ev_reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
       SELECT node, least(node, coalesce(least, node)) AS comp FROM nodes LEFT JOIN mutual USING (node)""",
-    "condensed_edges": f"""WITH RECURSIVE {EV}, nodes AS (SELECT src AS node FROM ev UNION SELECT dst FROM ev),
+    "condensed_edges": f"""WITH RECURSIVE {EV.replace('% 7', '% 61')}, nodes AS (SELECT src AS node FROM ev UNION SELECT dst FROM ev),
       mutual AS (SELECT a.src AS node, min(a.dst) AS least FROM ev_reach a JOIN ev_reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
       comp AS (SELECT node, least(node, coalesce(least, node)) AS comp FROM nodes LEFT JOIN mutual USING (node))
       SELECT DISTINCT a.comp AS src, b.comp AS dst FROM ev JOIN comp a ON a.node = ev.src JOIN comp b ON b.node = ev.dst WHERE a.comp <> b.comp""",
@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
     "trace_with_dynamic": """WITH l AS (SELECT * FROM lineitem WHERE l_orderkey % 50 = 0)
       SELECT 'o' || l_orderkey AS module, 'p' || l_partkey AS dep FROM l WHERE l_quantity < 5
       UNION SELECT 'o' || a.l_orderkey, 'p' || b.l_partkey FROM l a JOIN l b ON a.l_suppkey = b.l_suppkey AND b.l_quantity > 45""",
-    "dynamic_anchors": """WITH f AS (SELECT l_orderkey AS event_id, l_linenumber AS depth, p_brand AS module, l_returnflag AS fn FROM lineitem JOIN part ON l_partkey = p_partkey),
+    "dynamic_anchors": """WITH f AS (SELECT l_orderkey AS event_id, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS depth, p_brand AS module, l_returnflag AS fn FROM lineitem JOIN part ON l_partkey = p_partkey),
       g AS (SELECT event_id, bool_or(module IN ('Brand#12', 'Brand#1') AND fn = 'N') AS gone, min(depth) FILTER (right(module, 1) IN ('1', '3') AND fn = 'A') AS a, max(depth) AS b FROM f GROUP BY 1)
       SELECT f.event_id, f.module, f.fn FROM g JOIN f ON f.event_id = g.event_id AND f.depth = coalesce(g.a, g.b) WHERE NOT gone""",
     "distinct_stacks": "SELECT DISTINCT l_returnflag || '|' || l_linestatus || '|' || l_linenumber AS stack FROM lineitem",

@@ -38,10 +38,10 @@ def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_edges(spark: SparkSession, sf_dir: str, every: int = 7) -> DataFrame:
     node = F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string"), F.col("event_type"))
     nxt = F.lead(node).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    steps = _t(spark, sf_dir, "events").where(F.col("event_id") % 7 == 0).select(node.alias("src"), nxt.alias("dst"))
+    steps = _t(spark, sf_dir, "events").where(F.col("event_id") % every == 0).select(node.alias("src"), nxt.alias("dst"))
     return steps.where("dst IS NOT NULL")
 
 
@@ -103,7 +103,7 @@ def scc_components(spark, sf_dir):
 
 
 def condensed_edges(spark, sf_dir):
-    edges = materialise(event_edges(spark, sf_dir), "events")
+    edges = materialise(event_edges(spark, sf_dir, 61), "events")
     return closure.condense(edges, closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges))
 
 
@@ -169,9 +169,10 @@ def unresolved_links(spark, sf_dir):
 
 
 def ranked_lookup(spark, sf_dir):
-    """For each page the best existing path of its host: its own with .html, its parent with /1 ... /9, the first that is a page."""
+    """For each page the best existing path of its host: its own with .html, its parent with /1 ... /299, the first that is a page."""
     u = url_paths(spark, sf_dir)
-    tries = F.array(F.struct(F.lit(0).alias("rank"), F.concat("url", F.lit(".html")).alias("path")), *(F.struct(F.lit(k).alias("rank"), F.concat(paths.parent("url", "/"), F.lit(f"/{k}")).alias("path")) for k in range(1, 300)))
+    numbered = F.transform(F.sequence(F.lit(1), F.lit(299)), lambda k: F.struct(k.alias("rank"), F.concat(paths.parent("url", "/"), F.lit("/"), k.cast("string")).alias("path")))
+    tries = F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.concat("url", F.lit(".html")).alias("path"))), numbered)
     each = u.select("url", F.explode(tries).alias("t")).where("t.path IS NOT NULL AND t.path <> url")
     hits = each.join(u.select(F.col("url").alias("__path")), F.col("t.path") == F.col("__path"), "left_semi")
     return hits.groupBy("url").agg(F.min_by("t.path", "t.rank").alias("found"))
@@ -280,7 +281,7 @@ def trace_with_dynamic(spark, sf_dir):
 def dynamic_anchors(spark, sf_dir):
     """Lines of an order as a stack: part brands are functions."""
     frames = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    frames = frames.select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("depth"), F.col("p_brand").alias("module"), F.col("l_returnflag").alias("fn"))
+    frames = frames.select(F.col("l_orderkey").alias("event_id"), (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * F.lit(10**5) + F.col("l_suppkey")).alias("depth"), F.col("p_brand").alias("module"), F.col("l_returnflag").alias("fn"))
     one = lambda *rows: spark.createDataFrame(list(rows), "module string, fn string")
     brands = _t(spark, sf_dir, "part").select("p_brand").distinct()
     anchors = brands.where("substring(p_brand, -1) IN ('1', '3')").select(F.col("p_brand").alias("module"), F.lit("A").alias("fn"))
