@@ -35,7 +35,10 @@ def main(argv: list[str] | None = None) -> list[str]:
         found = graph.depends(args.depends)
         lines = ["unknown"] if found is None else sorted({r["py"] for r in found.toLocalIterator()})
     elif args.affected or args.modified:
-        changed = args.affected or sorted({p for _, _, path, old in (git := Git(args.root)).changes(args.modified) + git.dirty() for p in (path, old) if p})
+        changed = args.affected
+        if not changed:
+            git = Git(args.root)
+            changed = sorted({p for _, _, path, old in git.changes(args.modified) + git.dirty() for p in (path, old) if p})
         lines = sorted({r["fs"] for r in graph.affected_by_files(changed).toLocalIterator()} | set(changed))
     elif args.unresolved:
         lines = [f"{r['target']}: {', '.join(r['importers'])}" for r in graph.unresolved().orderBy("target").toLocalIterator()]

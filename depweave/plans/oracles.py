@@ -89,9 +89,9 @@ SQL: dict[str, str] = {
     "trace_with_dynamic": """WITH l AS (SELECT * FROM lineitem WHERE l_orderkey % 50 = 0)
       SELECT 'o' || l_orderkey AS module, 'p' || l_partkey AS dep FROM l WHERE l_quantity < 5
       UNION SELECT 'o' || a.l_orderkey, 'p' || b.l_partkey FROM l a JOIN l b ON a.l_suppkey = b.l_suppkey AND b.l_quantity > 45""",
-    "dynamic_anchors": """WITH f AS (SELECT l_orderkey AS event_id, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS depth, p_brand AS module, l_returnflag AS fn FROM lineitem JOIN part ON l_partkey = p_partkey),
+    "dynamic_anchors": """WITH f AS (SELECT l_orderkey AS event_id, (l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey) * 100 + ascii(l_returnflag) AS depth, p_brand AS module, l_returnflag AS fn FROM lineitem JOIN part ON l_partkey = p_partkey),
       g AS (SELECT event_id, bool_or(module IN ('Brand#12', 'Brand#1') AND fn = 'N') AS gone, min(depth) FILTER (right(module, 1) IN ('1', '3') AND fn = 'A') AS a, max(depth) AS b FROM f GROUP BY 1)
-      SELECT f.event_id, f.module, f.fn FROM g JOIN f ON f.event_id = g.event_id AND f.depth = coalesce(g.a, g.b) WHERE NOT gone""",
+      SELECT DISTINCT f.event_id, f.module, f.fn FROM g JOIN f ON f.event_id = g.event_id AND f.depth = coalesce(g.a, g.b) WHERE NOT gone""",
     "distinct_stacks": "SELECT DISTINCT l_returnflag || '|' || l_linestatus || '|' || l_linenumber AS stack FROM lineitem",
     "unexpected_per_item": """SELECT DISTINCT l_orderkey AS item, 'p' || l_partkey AS dep FROM lineitem l
       WHERE NOT EXISTS (SELECT 1 FROM lineitem e WHERE e.l_suppkey = l.l_suppkey AND e.l_partkey = l.l_partkey AND e.l_quantity > 10) AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)""",

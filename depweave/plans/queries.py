@@ -281,7 +281,7 @@ def trace_with_dynamic(spark, sf_dir):
 def dynamic_anchors(spark, sf_dir):
     """Lines of an order as a stack: part brands are functions."""
     frames = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    frames = frames.select(F.col("l_orderkey").alias("event_id"), (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * F.lit(10**5) + F.col("l_suppkey")).alias("depth"), F.col("p_brand").alias("module"), F.col("l_returnflag").alias("fn"))
+    frames = frames.select(F.col("l_orderkey").alias("event_id"), ((F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * F.lit(10**5) + F.col("l_suppkey")) * 100 + F.ascii("l_returnflag")).alias("depth"), F.col("p_brand").alias("module"), F.col("l_returnflag").alias("fn"))
     one = lambda *rows: spark.createDataFrame(list(rows), "module string, fn string")
     brands = _t(spark, sf_dir, "part").select("p_brand").distinct()
     anchors = brands.where("substring(p_brand, -1) IN ('1', '3')").select(F.col("p_brand").alias("module"), F.lit("A").alias("fn"))

@@ -1,0 +1,44 @@
+"""Every registered query of the library itself against its SQL, and the entry points."""
+
+import sys
+
+import pytest
+
+import __spark_entry__
+from depweave.plans import oracles, queries
+from tests.compare import held
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, name):
+    assert held(spark, SF, queries.QUERIES[name], oracles.SQL[name]) >= 0
+
+
+def test_entry_points(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+    names, sql = set(__spark_entry__.queries()), set(__spark_entry__.oracle_sql())
+    assert sql <= names and set(queries.QUERIES) <= sql
+
+
+def test_without_the_optional_parts(monkeypatch):
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("depweave.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+
+    class Gone:
+        def find_spec(self, name, path=None, target=None):
+            if name == "corpus_pipeline" or name.startswith("depweave.llm"):
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    monkeypatch.setattr(sys, "meta_path", [Gone(), *sys.meta_path])
+    assert set(__spark_entry__.queries()) == set(queries.QUERIES) == set(__spark_entry__.oracle_sql())
+
+
+def test_errors_inside_the_optional_parts_are_raised(monkeypatch):
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'xyz'", name="xyz")
+
+    monkeypatch.setattr(__spark_entry__.importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
