@@ -43,8 +43,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), exact (the ids decode to the text's bytes)."""
-    decoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text")))
-    return decoded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text_bytes()).alias("exact"))
+    # A digest stands for the text from here on, so that workers don't hold it twice.
+    own = docs.select("doc_id", "lang", "source", "text", F.sha2(text_bytes(), 256).alias("__sha"))
+    decoded = byte_bpe.decode(byte_bpe.encode(own, keep_text=False))
+    return decoded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("__sha")).alias("exact"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import pieces_of, text_bytes
+from depweave.llm.common import pieces_of, small_batches, text_bytes
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SAFE_BYTES = 1 << 16
@@ -69,9 +69,10 @@ def encode_text(enc: tiktoken.Encoding, text: str, most: int = SAFE_BYTES) -> np
     return np.concatenate(ids)
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS) -> DataFrame:
-    """All columns of docs, and ``ids`` binary: the token ids as little-endian unsigned 32-bit integers."""
-    schema = T.StructType([x for x in docs.schema if x.name != ids] + [T.StructField(ids, T.BinaryType())])
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS, keep_text: bool = True) -> DataFrame:
+    """All columns of docs (the text only with keep_text), and ``ids`` binary: the token ids as little-endian unsigned 32-bit integers."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([x for x in docs.schema if x.name != ids and (keep_text or x.name != text)] + [T.StructField(ids, T.BinaryType())])
     names = [x.name for x in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +82,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = R
                 out = [encode_text(enc, x.as_py().decode("utf-8", "replace")).astype("<u4", copy=False).tobytes() for x in batch.column("__bytes")]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if n == ids else batch.column(n) for n in names], names)
 
-    return docs.withColumn("__bytes", text_bytes(text)).mapInArrow(run, schema)
+    own = [c for c in names if c != ids]
+    return docs.select(*own, text_bytes(text).alias("__bytes")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: str = RANKS) -> DataFrame:
@@ -101,8 +103,7 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: st
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: digests of ids and of decoded bytes for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = encode(docs).select("doc_id", "ids")
-    return decode(ids).select(
+    return decode(encode(docs, keep_text=False)).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -40,6 +40,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python workers fewer rows at a time than the default of 10,000, so that long texts fit; a setting of the user's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def text_bytes(name: str = "text") -> Column:
     """The column as UTF-8 bytes, null as empty: Arrow then hands over bytes without validating them."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import pieces_of, text_bytes
+from depweave.llm.common import pieces_of, small_batches, text_bytes
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 TRAIN_DOCS = 2000
@@ -296,6 +296,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of docs with lang_pred and score."""
+    small_batches(docs.sparkSession)
     made = {"lang_pred": T.StringType(), "score": T.DoubleType()}
     schema = T.StructType([x for x in docs.schema if x.name not in made] + [T.StructField(n, t) for n, t in made.items()])
     names = [x.name for x in schema]

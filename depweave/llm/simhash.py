@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import materialise, text_bytes
+from depweave.llm.common import materialise, small_batches, text_bytes
 from depweave.llm.components import components
 
 WORDS = 4
@@ -58,6 +58,7 @@ def fingerprint_of(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp): the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("fp", T.LongType())])
 

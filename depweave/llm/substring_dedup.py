@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import flat, materialise, pieces_of, text_bytes
+from depweave.llm.common import flat, materialise, pieces_of, small_batches, text_bytes
 from depweave.llm.fm_index import FMIndex
 
 WINDOW = 20
@@ -325,6 +325,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int =
 
     The SHA-256 is that of the kept words joined by one space. Between kept words that were neighbours the text keeps its white space.
     """
+    small_batches(docs.sparkSession)
     made = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
     others = [x for x in docs.schema if x.name not in made]
     base = docs.select(*(x.name for x in others))

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm.common import pieces_of, scratch_path
+from depweave.llm.common import pieces_of, scratch_path, small_batches
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
@@ -126,6 +126,7 @@ def encode_misses(keyed: DataFrame, known: DataFrame, path: str, tokenizer: str)
 
 def count_tokens(docs: DataFrame, cache: str, path: str = MODEL, text: str = "text") -> DataFrame:
     """All columns of docs but the text, with n_bytes (UTF-8) and n_tokens; fills the cache at once, then joins it."""
+    small_batches(docs.sparkSession)
     spark, tokenizer = docs.sparkSession, tokenizer_digest(path)
     content = normalised(F.col(text), path)
     digest = F.unhex(F.sha2(content, 256))
