@@ -53,10 +53,10 @@ def text_bytes(name: str = "text") -> Column:
 
 
 def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a binary column without copies; offsets count from the start of the bytes."""
+    """Offsets and bytes of a binary or string column without copies; offsets count from the start of the bytes. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    large = pa.types.is_large_binary(column.type)
+    large = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, at, data = column.buffers()
     offsets = np.frombuffer(at, dtype=np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -118,13 +118,13 @@ def segments(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, n, least[start].view(np.int64), ranges.of(start, start + n + WINDOW - 1).view(np.int64), times > 1
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """Step 1. docs: k, __bytes. Rows (anchor, seg, k, at): at holds first word, windows and the mark of a doubled anchor; a null seg is a known repeat."""
+def _cut(docs: DataFrame, text: str) -> DataFrame:
+    """Step 1. docs: k and the text. Rows (anchor, seg, k, at): at holds first word, windows and the mark of a doubled anchor; a null seg is a known repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, "__bytes", SLICE_BYTES):
-                _, _, doc, word = words_of(*flat(batch.column("__bytes")))
+            for batch in pieces_of(whole, text, SLICE_BYTES):
+                _, _, doc, word = words_of(*flat(batch.column(text)))
                 start, n, anchor, seg, twice = segments(doc, word)
                 if not len(start):
                     continue
@@ -139,7 +139,7 @@ def _cut(docs: DataFrame) -> DataFrame:
                 key = np.where(repeat, _mix((k ^ at).view(np.uint64)).view(np.int64), anchor)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg, mask=repeat), pa.array(k), pa.array(at)], ["anchor", "seg", "k", "at"])
 
-    return docs.mapInArrow(run, "anchor long, seg long, k long, at long")
+    return docs.select("k", text).mapInArrow(run, "anchor long, seg long, k long, at long")
 
 
 def _meet(cut: DataFrame) -> DataFrame:
@@ -198,14 +198,14 @@ def _marks(anchor, k, at) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()) if anchor is None else pa.array(anchor), pa.array(k), pa.array(at)], ["anchor", "k", "at"])
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fetch(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """Candidates with their words' hashes. wanted: k and an array of structs (first, n, anchor, crowded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "k", "first", "crowded", "words"]
         for whole in batches:
-            for batch in pieces_of(whole, "__bytes", SLICE_BYTES):
-                _, _, doc, word = words_of(*flat(batch.column("__bytes")))
+            for batch in pieces_of(whole, text, SLICE_BYTES):
+                _, _, doc, word = words_of(*flat(batch.column(text)))
                 begin = np.searchsorted(doc, np.arange(batch.num_rows), "left")
                 lists = batch.column("wanted")
                 row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -218,7 +218,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         [inner.field("anchor")[part], pa.array(batch.column("k").to_numpy()[row[part]]), pa.array(first[part]), inner.field("crowded")[part], pa.array(raw[part], pa.binary())], names
                     )
 
-    return docs.join(wanted, "k").select("k", "__bytes", "wanted").mapInArrow(run, "anchor long, k long, first long, crowded boolean, words binary")
+    return docs.join(wanted, "k").mapInArrow(run, "anchor long, k long, first long, crowded boolean, words binary")
 
 
 def shard_repeats(sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,9 +303,9 @@ def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
     return keyed.join(order, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__sha") == F.col("__of"))).drop("__key", "__of", "__sha"), False
 
 
-def repeats(source: DataFrame, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
-    """(k, first, n): n neighbouring windows from word number first on are repeats. source: k, __bytes, one row a document."""
-    met = materialise(_meet(_cut(source)), "segments")
+def repeats(source: DataFrame, text: str = "text", crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
+    """(k, first, n): n neighbouring windows from word number first on are repeats. source: k and the text, one row a document; other columns are carried along."""
+    met = materialise(_meet(_cut(source, text)), "segments")
     first, n = F.shiftright("at", 32).alias("first"), F.shiftright(F.col("at").bitwiseAND((1 << 32) - 1), 1).alias("n")
     known = met.where("anchor IS NULL").select("k", first, n)
     wanted = met.where("anchor IS NOT NULL").select("anchor", "k", first, n)
@@ -313,7 +313,7 @@ def repeats(source: DataFrame, crowd: int = CROWD, shard: int = SHARD) -> DataFr
     there = not crowds.isEmpty()
     wanted = wanted.join(crowds, "anchor", "left") if there else wanted.withColumn("crowded", F.lit(None).cast("boolean"))
     by_doc = wanted.groupBy("k").agg(F.collect_list(F.struct("first", "n", "anchor", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted"))
-    fetched = _fetch(source, by_doc)
+    fetched = _fetch(source, text, by_doc)
     if there:
         fetched = materialise(fetched, "candidates")
     found = known.unionByName(_search(fetched.where("NOT crowded") if there else fetched, shard))
@@ -329,24 +329,25 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int =
     made = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
     others = [x for x in docs.schema if x.name not in made]
     base = docs.select(*(x.name for x in others))
-    clash = {c: f"__own_{c}" for c in ("k", "__bytes", "gone") if c in base.columns and c not in (key, text)}
+    clash = {c: f"__own_{c}" for c in ("k", "gone", "wanted") if c in base.columns and c not in (key, text)}
     keyed, unique = numbered(base.withColumnsRenamed(clash), key, text)
-    full = keyed.withColumn("__bytes", text_bytes(text)).where("k IS NOT NULL")
-    source = full.select("k", "__bytes")
-    gone = repeats(source if unique else source.dropDuplicates(["k"]), crowd, shard)
+    # Candidates' words and the last step take the same columns by the same key, so one shuffle of the texts serves both.
+    full = keyed.where("k IS NOT NULL")
+    gone = repeats(full if unique else full.dropDuplicates(["k"]), text, crowd, shard)
     gone = gone.groupBy("k").agg(F.collect_list(F.struct("first", F.col("n").alias("n"))).alias("gone"))
     back = {v: k for k, v in clash.items()}
-    inner = [x for x in full.columns if x not in ("k", "__bytes")]
+    inner = [x for x in full.columns if x != "k"]
     out_schema = T.StructType([T.StructField(back.get(c, c), full.schema[c].dataType) for c in inner] + [T.StructField(n, t) for n, t in made.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, "__bytes", SLICE_BYTES):
+            for batch in pieces_of(whole, text, SLICE_BYTES):
+                have = batch.column(text).cast(pa.binary())
                 texts, n_words, n_removed, shas = [], [], [], []
-                for raw, cut in zip(batch.column("__bytes"), batch.column("gone"), strict=True):
-                    raw = raw.as_py()
-                    words = raw.split()
-                    keep, changed = words, None
+                for value, cut in zip(have, batch.column("gone"), strict=True):
+                    raw = value.as_py()
+                    words = (raw or b"").split()
+                    keep = words
                     if cut.is_valid:
                         cover = np.zeros(len(words) + 1, dtype=np.int64)
                         first, n = (cut.values.field(f).to_numpy() for f in ("first", "n"))
@@ -357,20 +358,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int =
                         start, stop, _, _ = words_of(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
                         heads = np.flatnonzero(left & ~np.concatenate([[False], left[:-1]]))
                         tails = np.flatnonzero(left & ~np.concatenate([left[1:], [False]]))
-                        changed = b" ".join(raw[start[a] : stop[b]] for a, b in zip(heads, tails, strict=True))
-                    texts.append(changed)
+                        raw = b" ".join(raw[start[a] : stop[b]] for a, b in zip(heads, tails, strict=True))
+                    texts.append(raw)
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(keep))
                     shas.append(hashlib.sha256(b" ".join(keep)).hexdigest())
-                columns = []
-                for c in inner:
-                    have = batch.column(c)
-                    if c == text and any(t is not None for t in texts):
-                        have = pa.array([h if t is None else t.decode("utf-8", "replace") for h, t in zip(have.to_pylist(), texts, strict=True)], have.type)
-                    columns.append(have)
+                made_text = pa.array(texts, pa.binary())
+                # As text without checking it once more.
+                made_text = pa.Array.from_buffers(pa.string(), len(made_text), made_text.buffers(), made_text.null_count)
+                columns = [made_text if c == text else batch.column(c) for c in inner]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas)], out_schema.names)
 
-    return full.join(gone, "k", "left").select(*inner, "__bytes", "gone").mapInArrow(run, out_schema)
+    return full.join(gone, "k", "left").mapInArrow(run, out_schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
