@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm.common import pieces_of, scratch_path, small_batches
+from depweave.llm.common import materialise, pieces_of, scratch_path, small_batches
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
@@ -131,7 +131,8 @@ def count_tokens(docs: DataFrame, cache: str, path: str = MODEL, text: str = "te
     content = normalised(F.col(text), path)
     digest = F.unhex(F.sha2(content, 256))
     encode_misses(docs.select(digest.alias("__digest"), content.alias("__text")), read_cache(spark, cache, tokenizer), path, tokenizer).write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache, tokenizer).select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__n"))
+    # As a table of its own: a join of two plain shuffles lets adaptive execution split the rows of a text that very many share.
+    stored = materialise(read_cache(spark, cache, tokenizer), "stored-counts").select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__n"))
     others = [F.col(c) for c in docs.columns if c not in (text, "n_bytes", "n_tokens")]
     sized = docs.select(*others, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("__digest"))
     return sized.join(stored, "__digest", "left").withColumnRenamed("__n", "n_tokens").drop("__digest")
