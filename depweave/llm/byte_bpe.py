@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import pieces_of, small_batches, text_bytes
+from depweave.llm.common import lean, pieces_of, small_batches, text_bytes
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SAFE_BYTES = 1 << 16
@@ -83,7 +83,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = R
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if n == ids else batch.column(n) for n in names], names)
 
     own = [c for c in names if c != ids]
-    return docs.select(*own, text_bytes(text).alias("__bytes")).mapInArrow(run, schema)
+    return docs.select(*own, text_bytes(text).alias("__bytes")).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: str = RANKS) -> DataFrame:
@@ -97,7 +97,7 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: st
             texts = [enc.decode_bytes(np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if n == out else batch.column(n) for n in names], names)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

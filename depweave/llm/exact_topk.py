@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from depweave.llm.common import lean
+
 K = 5
 SCALE = 256
 BLOCK = 16
@@ -141,7 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id",
             if sizes.sum():
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.score))], ["query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(run, RESULT))
+        found.append(rows.mapInArrow(lean(run), RESULT))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import pieces_of, small_batches, text_bytes
+from depweave.llm.common import lean, pieces_of, small_batches, text_bytes
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 TRAIN_DOCS = 2000
@@ -38,7 +38,7 @@ SMOOTHING = 0.02
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
 MANY_LANGUAGES = 2000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Longer words are scored one by one, in steps that can't underflow.
 LONG_WORD = 32
 START = ord("▁")
@@ -290,7 +290,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                     words = ["".join(map(chr, code[s : s + n])) for s, n in zip(start[first], size[first], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([one] * len(words)), pa.array(words), pa.array(np.bincount(which), pa.int64())], ["lang", "word", "n"])
 
-    words = sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample.mapInArrow(lean(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return fit([tuple(r) for r in words.toLocalIterator()], path)
 
 
@@ -309,7 +309,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 new = {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores)}
                 yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names)
 
-    return docs.withColumn("__bytes", text_bytes(text)).mapInArrow(run, schema)
+    return docs.withColumn("__bytes", text_bytes(text)).mapInArrow(lean(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

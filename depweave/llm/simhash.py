@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import materialise, small_batches, text_bytes
+from depweave.llm.common import lean, materialise, small_batches, text_bytes
 from depweave.llm.components import components
 
 WORDS = 4
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             fp = np.fromiter((fingerprint_of(x.as_py()) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], [key, "fp"])
 
-    return docs.select(F.col(key), text_bytes(text).alias("__bytes")).mapInArrow(run, schema)
+    return docs.select(F.col(key), text_bytes(text).alias("__bytes")).mapInArrow(lean(run), schema)
 
 
 def variants() -> list:
@@ -175,7 +175,7 @@ def _link(keyed: DataFrame, most: int) -> DataFrame:
             for k, f in zip(rk, rf, strict=True):
                 yield give(f, f, k)
 
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, key long")
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(run), "a long, b long, key long")
 
 
 def edges(distinct: DataFrame, most: int = BUCKET) -> DataFrame:

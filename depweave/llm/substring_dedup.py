@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import flat, materialise, pieces_of, small_batches, text_bytes
+from depweave.llm.common import flat, lean, materialise, pieces_of, small_batches, text_bytes
 from depweave.llm.fm_index import FMIndex
 
 WINDOW = 20
 ANCHOR = 6
-SLICE_BYTES = 4 << 20
-SHARD = 1 << 20
+SLICE_BYTES = 1 << 20
+SHARD = 1 << 18
 CROWD = 10_000
 
 _rng = np.random.default_rng(20)
@@ -139,7 +139,7 @@ def _cut(docs: DataFrame, text: str) -> DataFrame:
                 key = np.where(repeat, _mix((k ^ at).view(np.uint64)).view(np.int64), anchor)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg, mask=repeat), pa.array(k), pa.array(at)], ["anchor", "seg", "k", "at"])
 
-    return docs.select("k", text).mapInArrow(run, "anchor long, seg long, k long, at long")
+    return docs.select("k", text).mapInArrow(lean(run), "anchor long, seg long, k long, at long")
 
 
 def _meet(cut: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _meet(cut: DataFrame) -> DataFrame:
         if held is not None and held[2][0] & 1:
             yield _marks(*held)
 
-    return cut.repartition("anchor").sortWithinPartitions(F.col("seg").isNull(), "anchor", "seg", "k", "at").mapInArrow(run, "anchor long, k long, at long")
+    return cut.repartition("anchor").sortWithinPartitions(F.col("seg").isNull(), "anchor", "seg", "k", "at").mapInArrow(lean(run), "anchor long, k long, at long")
 
 
 def _marks(anchor, k, at) -> pa.RecordBatch:
@@ -218,7 +218,7 @@ def _fetch(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                         [inner.field("anchor")[part], pa.array(batch.column("k").to_numpy()[row[part]]), pa.array(first[part]), inner.field("crowded")[part], pa.array(raw[part], pa.binary())], names
                     )
 
-    return docs.join(wanted, "k").mapInArrow(run, "anchor long, k long, first long, crowded boolean, words binary")
+    return docs.join(wanted, "k").mapInArrow(lean(run), "anchor long, k long, first long, crowded boolean, words binary")
 
 
 def shard_repeats(sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +265,7 @@ def _search(fetched: DataFrame, shard: int = SHARD) -> DataFrame:
         if rows and (found := search()):
             yield found
 
-    return fetched.repartition("anchor").sortWithinPartitions("anchor", "k", "first").mapInArrow(run, "k long, first long, n long")
+    return fetched.repartition("anchor").sortWithinPartitions("anchor", "k", "first").mapInArrow(lean(run), "k long, first long, n long")
 
 
 def _windows(crowded: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def _windows(crowded: DataFrame) -> DataFrame:
             k, first = batch.column("k").to_numpy(), batch.column("first").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(k[seg]), pa.array(first[seg] + off)], ["high", "low", "k", "first"])
 
-    each = materialise(crowded.mapInArrow(run, "high long, low long, k long, first long"), "crowded-windows")
+    each = materialise(crowded.mapInArrow(lean(run), "high long, low long, k long, first long"), "crowded-windows")
     least = each.groupBy("high", "low").agg(F.min(F.struct("k", "first")).alias("least"))
     return each.join(least, ["high", "low"]).where(F.struct("k", "first") != F.col("least")).select("k", "first", F.lit(1).cast("long").alias("n"))
 
@@ -369,7 +369,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int =
                 columns = [made_text if c == text else batch.column(c) for c in inner]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas)], out_schema.names)
 
-    return full.join(gone, "k", "left").mapInArrow(run, out_schema)
+    return full.join(gone, "k", "left").mapInArrow(lean(run), out_schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm.common import materialise, pieces_of, scratch_path, small_batches
+from depweave.llm.common import lean, materialise, pieces_of, scratch_path, small_batches
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
@@ -121,7 +121,7 @@ def encode_misses(keyed: DataFrame, known: DataFrame, path: str, tokenizer: str)
                 n = [count(x.as_py().decode("utf-8", "replace")) for x in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
-    return misses.mapInArrow(run, CACHE)
+    return misses.mapInArrow(lean(run), CACHE)
 
 
 def count_tokens(docs: DataFrame, cache: str, path: str = MODEL, text: str = "text") -> DataFrame:
