@@ -18,8 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.SQL,
-    "op3_substring_dedup": substring_dedup.query,
-    "op4_language_id": language_id.query,
     "op5_tool_calls": tool_calls.SQL,
     "op6_exact_topk": exact_topk.SQL,
     "op7_lattice_dedup": lattice_dedup.SQL,
