@@ -13,8 +13,8 @@ meet in the shard their anchor is dealt to.
    are done; the others' segments, and those that hold their anchor twice, are candidates.
 3. Candidates' words are fetched, dealt by anchor and indexed in shards of about ``SHARD`` words that hold whole
    anchors; each segment streams through its shard's FM-index, which reports the windows with an earlier place.
-   Anchors with more than ``CROWD`` distinct segments are too many for a shard: their windows are compared by a
-   128-bit hash instead, aggregated before the shuffle.
+   Anchors with more than ``CROWD`` distinct segments, or as many words as those would have, are too much for a shard:
+   their windows are compared by a 128-bit hash instead, aggregated before the shuffle.
 4. Repeats are gathered by document (no more than it has words) and cut out.
 
 Words are compared by 64-bit hashes of their bytes, windows so by 1280 bits. Ids should be unique: rows with the same id
@@ -42,6 +42,7 @@ ANCHOR = 6
 SLICE_BYTES = 1 << 20
 SHARD = 1 << 18
 CROWD = 10_000
+LONGEST = 4096
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,7 +112,10 @@ def segments(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
         return none, none, none, none, none.astype(bool)
     # A run ends before the next run or at its document's last window.
     ends = np.flatnonzero(valid & ~np.concatenate([same[1:], [False]]))
-    n = ends - start + 1
+    # Words that go on repeating give one long run; it is cut, and equal pieces of it are repeats at once.
+    parts = (ends - start) // LONGEST + 1
+    start = np.repeat(start, parts) + LONGEST * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+    n = np.minimum(np.repeat(ends, parts) - start + 1, LONGEST)
     span = n + width - 1
     place = np.repeat(start - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(int(span.sum()))
     times = np.add.reduceat((gram[place] == np.repeat(least[start], span)).astype(np.int32), np.concatenate([[0], np.cumsum(span)[:-1]]))
@@ -309,7 +313,8 @@ def repeats(source: DataFrame, text: str = "text", crowd: int = CROWD, shard: in
     first, n = F.shiftright("at", 32).alias("first"), F.shiftright(F.col("at").bitwiseAND((1 << 32) - 1), 1).alias("n")
     known = met.where("anchor IS NULL").select("k", first, n)
     wanted = met.where("anchor IS NOT NULL").select("anchor", "k", first, n)
-    crowds = materialise(wanted.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor", F.lit(True).alias("crowded")), "crowds")
+    sizes = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("n") + WINDOW - 1).alias("words"))
+    crowds = materialise(sizes.where((F.col("segments") > crowd) | (F.col("words") > crowd * 2 * WINDOW)).select("anchor", F.lit(True).alias("crowded")), "crowds")
     there = not crowds.isEmpty()
     wanted = wanted.join(crowds, "anchor", "left") if there else wanted.withColumn("crowded", F.lit(None).cast("boolean"))
     by_doc = wanted.groupBy("k").agg(F.collect_list(F.struct("first", "n", "anchor", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted"))

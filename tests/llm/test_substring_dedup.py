@@ -83,6 +83,17 @@ def test_against_brute_force(spark, crowd, shard, seed):
         assert r.k == "x"
 
 
+@pytest.mark.parametrize("crowd", [D.CROWD, 5])
+def test_long_runs_of_repeating_words(spark, crowd):
+    """Runs of windows with one anchor that are longer than a piece, alone and across documents."""
+    docs = ["ab " * 9000, "q " + "x y z " * 3000, "x y z " * 2999 + "end", " ".join(f"u{i}" for i in range(30)) + " ab" * 5000]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r for r in D.dedup(df, crowd=crowd).collect()}
+    for i, (n, removed, kept) in enumerate(slow(docs)):
+        r = got[i]
+        assert (r.n_words, r.n_removed, r.kept_sha256) == (n, removed, hashlib.sha256(" ".join(kept).encode()).hexdigest()), i
+
+
 def test_repeated_and_null_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(25))
     rows = [(1, a), (1, a), (2, b + " " + a), (None, b), (None, b), (None, "short")]
