@@ -12,6 +12,10 @@ EV = """steps AS (
   FROM events WHERE event_id % 7 = 0),
 ev AS (SELECT DISTINCT src, dst FROM steps WHERE dst IS NOT NULL),
 ev_reach AS (SELECT src, dst FROM ev WHERE src <> dst UNION SELECT r.src, e.dst FROM ev_reach r JOIN ev e ON r.dst = e.src WHERE e.src <> e.dst)"""
+EV_WHOLE = """steps AS (
+  SELECT 'u' || user_id || event_type AS src, lead('u' || user_id || event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+ev AS (SELECT DISTINCT src, dst FROM steps WHERE dst IS NOT NULL),
+ev_reach AS (SELECT src, dst FROM ev WHERE src <> dst UNION SELECT r.src, e.dst FROM ev_reach r JOIN ev e ON r.dst = e.src WHERE e.src <> e.dst)"""
 REACH_FK = "reach AS (SELECT src, dst FROM fk UNION SELECT r.src, f.dst FROM reach r JOIN fk f ON r.dst = f.src)"
 URL = r"""u AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', ''), '/+$', '') AS url FROM pages),
 parts AS (SELECT url, string_split(url, '/') AS p FROM u),
@@ -32,6 +36,10 @@ TRACE = """tr AS (
   SELECT event_id, 'u' || (user_id % 40) || '.' || event_type AS context, lead('u' || (user_id % 40) || '.' || event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS module FROM events),
 seen AS (SELECT DISTINCT context AS src, module AS dst FROM tr WHERE module IS NOT NULL AND event_id % 5 <> 0 AND event_id % 11 <> 0),
 obs AS (SELECT src, dst FROM seen WHERE src <> dst UNION SELECT dst, split_part(dst, '.', 1) FROM seen)"""
+TRACE_WHOLE = """tr AS (
+  SELECT event_id, 'u' || user_id || '.' || event_type AS context, lead('u' || user_id || '.' || event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS module FROM events),
+seen AS (SELECT DISTINCT context AS src, module AS dst FROM tr WHERE module IS NOT NULL AND event_id % 5 <> 0 AND event_id % 11 <> 0),
+obs AS (SELECT src, dst FROM seen WHERE src <> dst UNION SELECT dst, split_part(dst, '.', 1) FROM seen)"""
 MISSING = r"""static AS (SELECT regexp_replace(src, '^(u\d+)', '\1.') AS module, regexp_replace(dst, '^(u\d+)', '\1.') AS dep FROM ev_reach),
 missing AS (SELECT src AS module, dst AS dep FROM obs EXCEPT SELECT module, dep FROM static)"""
 
@@ -105,4 +113,15 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'local py repeated', pkg || ':' || py, count(*) FROM m WHERE py IS NOT NULL AND pkg IS NOT NULL GROUP BY pkg, py HAVING count(*) > 1
       UNION ALL SELECT 'separator in py', py, 1 FROM m WHERE contains(py, '/')
       UNION ALL SELECT 'py missing', fs, 1 FROM m WHERE py IS NULL""",
+    "closure_ev_whole": f"WITH RECURSIVE {EV_WHOLE} SELECT src, dst FROM ev_reach",
+    "cycle_members_whole": f"WITH RECURSIVE {EV_WHOLE} SELECT src AS node FROM ev_reach WHERE src = dst",
+    "scc_components_whole": f"""WITH RECURSIVE {EV_WHOLE}, nodes AS (SELECT src AS node FROM ev UNION SELECT dst FROM ev),
+      mutual AS (SELECT a.src AS node, min(a.dst) AS least FROM ev_reach a JOIN ev_reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
+      SELECT node, least(node, coalesce(least, node)) AS comp FROM nodes LEFT JOIN mutual USING (node)""",
+    "condensed_edges_whole": f"""WITH RECURSIVE {EV_WHOLE}, nodes AS (SELECT src AS node FROM ev UNION SELECT dst FROM ev),
+      mutual AS (SELECT a.src AS node, min(a.dst) AS least FROM ev_reach a JOIN ev_reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
+      comp AS (SELECT node, least(node, coalesce(least, node)) AS comp FROM nodes LEFT JOIN mutual USING (node))
+      SELECT DISTINCT a.comp AS src, b.comp AS dst FROM ev JOIN comp a ON a.node = ev.src JOIN comp b ON b.node = ev.dst WHERE a.comp <> b.comp""",
+    "trace_missing_whole": f"WITH RECURSIVE {EV_WHOLE}, {TRACE_WHOLE}, {MISSING} SELECT module, dep FROM missing",
+    "trace_missing_by_package_whole": f"WITH RECURSIVE {EV_WHOLE}, {TRACE_WHOLE}, {MISSING} SELECT split_part(module, '.', 1) AS pkg, count(DISTINCT module) AS modules, count(*) AS pairs FROM missing GROUP BY 1",
 }

@@ -2,6 +2,9 @@
 
 G_fk, acyclic: order -> customer -> nation <- supplier, nation -> region. G_ev, cyclic: consecutive events of a user.
 T_url: page urls as paths of segments. L_href: links in pages.
+
+G_ev of closure_ev, cycle_members, scc_components and trace_missing holds every seventh event (condensed_edges: every
+61st) and folds users to 40, as their SQL does; the queries of the same names with ``_whole`` take every event and user.
 """
 
 from __future__ import annotations
@@ -45,6 +48,13 @@ def event_edges(spark: SparkSession, sf_dir: str, every: int = 7) -> DataFrame:
     return steps.where("dst IS NOT NULL")
 
 
+def all_event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G_ev of every event, with a node for each user and type."""
+    node = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.col("event_type"))
+    nxt = F.lead(node).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _t(spark, sf_dir, "events").select(node.alias("src"), nxt.alias("dst")).where("dst IS NOT NULL")
+
+
 def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (url): no scheme, query, fragment or slash at the end."""
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", r"^[^:]*://", ""), r"[?#].*$", ""), "/+$", "")
@@ -107,6 +117,24 @@ def condensed_edges(spark, sf_dir):
     return closure.condense(edges, closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges))
 
 
+def closure_ev_whole(spark, sf_dir):
+    return closure.transitive_closure(all_event_edges(spark, sf_dir))
+
+
+def cycle_members_whole(spark, sf_dir):
+    return closure.cycle_members(closure_ev_whole(spark, sf_dir))
+
+
+def scc_components_whole(spark, sf_dir):
+    edges = materialise(all_event_edges(spark, sf_dir), "events")
+    return closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
+
+
+def condensed_edges_whole(spark, sf_dir):
+    edges = materialise(all_event_edges(spark, sf_dir), "events")
+    return closure.condense(edges, closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges))
+
+
 def leaf_nodes(spark, sf_dir):
     edges = fk_edges(spark, sf_dir)
     return closure.leaf_nodes(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
@@ -242,9 +270,10 @@ def impact_deciles(spark, sf_dir):
     return select.gain_distribution(_impacts(spark, sf_dir))
 
 
-def _trace(spark, sf_dir):
-    """Events as a trace: a user's type imports its next type; errors failed, some are ignored."""
-    node = F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string"), F.lit("."), F.col("event_type"))
+def _trace(spark, sf_dir, users: int | None = 40):
+    """Events as a trace: a user's type imports its next type; errors failed, some are ignored. Users are folded to ``users``, or not if None."""
+    user = F.col("user_id") % users if users else F.col("user_id")
+    node = F.concat(F.lit("u"), user.cast("string"), F.lit("."), F.col("event_type"))
     nxt = F.lead(node).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     events = _t(spark, sf_dir, "events").select("event_id", "event_type", node.alias("context"), nxt.alias("module"))
     return events.where("module IS NOT NULL").select("context", "module", F.when(F.col("event_id") % 5 == 0, "error").otherwise("ok").alias("status"), (F.col("event_id") % 11 == 0).alias("is_ignored"))
@@ -262,8 +291,24 @@ def trace_missing(spark, sf_dir):
     return trace.missing(seen, static)
 
 
+def trace_missing_whole(spark, sf_dir):
+    """Observed pairs that the closure of all events lacks: none but those with a module's parent."""
+    dotted = lambda c: F.regexp_replace(c, r"^(u\d+)", "$1.")
+    static = closure_ev_whole(spark, sf_dir).select(dotted("src").alias("module"), dotted("dst").alias("dep"))
+    seen = trace.observed_edges(_trace(spark, sf_dir, None)).select(F.col("src").alias("module"), F.col("dst").alias("dep"))
+    return trace.missing(seen, static)
+
+
 def trace_missing_by_package(spark, sf_dir):
-    found = trace_missing(spark, sf_dir).select("module", "dep")
+    return _missing_by_package(spark, trace_missing(spark, sf_dir))
+
+
+def trace_missing_by_package_whole(spark, sf_dir):
+    return _missing_by_package(spark, trace_missing_whole(spark, sf_dir))
+
+
+def _missing_by_package(spark, lacking):
+    found = lacking.select("module", "dep")
     packages = found.select("module").distinct().withColumn("pkg", paths.first_segment("module"))
     nothing = spark.createDataFrame([], "module string, dep string")
     return trace.missing_by_package(found, nothing, packages)
@@ -333,5 +378,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         parent_created_url, matches_url, longest_prefix_url, strict_prefix_url, suffixes_url, wildcard_children_url, tracked_urls, relative_import_base, extract_links, unresolved_links,
         ranked_lookup, admitted_files, nearest_ancestor, modified_union, keep_predicate, residual_risk, impact_commits, impact_classes, impact_deciles, trace_observed, trace_missing,
         trace_missing_by_package, trace_with_dynamic, dynamic_anchors, distinct_stacks, unexpected_per_item, rename_explode, recent_commits, module_violations,
+        closure_ev_whole, cycle_members_whole, scc_components_whole, condensed_edges_whole, trace_missing_whole, trace_missing_by_package_whole,
     )
 }
