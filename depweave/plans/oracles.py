@@ -124,4 +124,12 @@ SQL: dict[str, str] = {
       SELECT DISTINCT a.comp AS src, b.comp AS dst FROM ev JOIN comp a ON a.node = ev.src JOIN comp b ON b.node = ev.dst WHERE a.comp <> b.comp""",
     "trace_missing_whole": f"WITH RECURSIVE {EV_WHOLE}, {TRACE_WHOLE}, {MISSING} SELECT module, dep FROM missing",
     "trace_missing_by_package_whole": f"WITH RECURSIVE {EV_WHOLE}, {TRACE_WHOLE}, {MISSING} SELECT split_part(module, '.', 1) AS pkg, count(DISTINCT module) AS modules, count(*) AS pairs FROM missing GROUP BY 1",
+    "depends_order_whole": f"WITH RECURSIVE {FK}, {REACH_FK} SELECT src, dst FROM reach WHERE src LIKE 'o%'",
+    "ranked_lookup_whole": f"""WITH {URL}, s AS (SELECT url, array_to_string(p[1:(len(p) - 1)], '/') AS parent, p[len(p)] AS last FROM parts WHERE len(p) > 1),
+      tries AS (
+        SELECT u.url, b.url AS path, '' AS rank FROM u JOIN u b ON b.url = u.url || '.html' UNION ALL
+        SELECT a.url, b.url, lpad(length(b.last)::VARCHAR, 9, '0') || b.last FROM s a JOIN s b ON a.parent = b.parent AND a.url <> b.url AND regexp_full_match(b.last, '[1-9][0-9]*'))
+      SELECT url, min_by(path, rank) AS found FROM tries GROUP BY url""",
+    "trace_with_dynamic_whole": """SELECT 'o' || l_orderkey AS module, 'p' || l_partkey AS dep FROM lineitem WHERE l_quantity < 5
+      UNION SELECT 'o' || a.l_orderkey, 'p' || b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND b.l_quantity > 45""",
 }

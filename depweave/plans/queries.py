@@ -88,6 +88,12 @@ def depends_order(spark, sf_dir):
     return closure.transitive_closure(fk_edges(spark, sf_dir), seeds)
 
 
+def depends_order_whole(spark, sf_dir):
+    """What every order reaches."""
+    seeds = _t(spark, sf_dir, "orders").select(_key("o", "o_orderkey").alias("node"))
+    return closure.transitive_closure(fk_edges(spark, sf_dir), seeds)
+
+
 def affected_suppliers(spark, sf_dir):
     """Suppliers that reach a region, by the operator over modules: suppliers are files, nodes between have none."""
     edges = fk_edges(spark, sf_dir)
@@ -206,6 +212,20 @@ def ranked_lookup(spark, sf_dir):
     return hits.groupBy("url").agg(F.min_by("t.path", "t.rank").alias("found"))
 
 
+def ranked_lookup_whole(spark, sf_dir):
+    """ranked_lookup with every number that a page of the parent has: a page's siblings are joined, not tried."""
+    u = url_paths(spark, sf_dir)
+    own = u.join(u.select(F.expr("substring(url, 1, length(url) - 5)").alias("__stem"), F.col("url").alias("__path")).where(F.col("__path").endswith(".html")), F.col("url") == F.col("__stem"))
+    number = F.substring_index("url", "/", -1)
+    # The two least numbers of a parent do, as a page is no candidate of its own. Numbers are compared by length, then digits.
+    least = W.partitionBy("__parent").orderBy(F.length("__number"), "__number")
+    numbered = u.select(paths.parent("url", "/").alias("__parent"), number.alias("__number"), F.col("url").alias("__path")).where("__parent IS NOT NULL AND __number RLIKE '^[1-9][0-9]*$'")
+    numbered = numbered.withColumn("__k", F.row_number().over(least)).where("__k <= 2").select("__parent", "__path", "__k")
+    siblings = u.select("url", paths.parent("url", "/").alias("__parent")).join(numbered, "__parent").where("__path <> url")
+    hits = own.select("url", "__path", F.lit(0).alias("__k")).unionByName(siblings.select("url", "__path", "__k"))
+    return hits.groupBy("url").agg(F.min_by("__path", "__k").alias("found"))
+
+
 def admitted_files(spark, sf_dir):
     """Admission over paths made from parts: a .py, .pyi or .pyx by key, some of them packages."""
     part = _t(spark, sf_dir, "part")
@@ -315,8 +335,16 @@ def _missing_by_package(spark, lacking):
 
 
 def trace_with_dynamic(spark, sf_dir):
-    """Lines of orders: parts count for a supplier's users."""
-    lines = _t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    """Lines of every fiftieth order: parts count for a supplier's users."""
+    return _with_dynamic(_t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+def trace_with_dynamic_whole(spark, sf_dir):
+    """Lines of all orders."""
+    return _with_dynamic(_t(spark, sf_dir, "lineitem"))
+
+
+def _with_dynamic(lines):
     users = lines.select(_key("o", "l_orderkey").alias("module"), _key("s", "l_suppkey").alias("anchor_module"), F.lit("load").alias("anchor_fn")).distinct()
     imports = lines.where("l_quantity > 45").select(_key("s", "l_suppkey").alias("anchor_module"), F.lit("load").alias("anchor_fn"), _key("p", "l_partkey").alias("dep")).distinct()
     own = lines.where("l_quantity < 5").select(_key("o", "l_orderkey").alias("module"), _key("p", "l_partkey").alias("dep"))
@@ -379,5 +407,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ranked_lookup, admitted_files, nearest_ancestor, modified_union, keep_predicate, residual_risk, impact_commits, impact_classes, impact_deciles, trace_observed, trace_missing,
         trace_missing_by_package, trace_with_dynamic, dynamic_anchors, distinct_stacks, unexpected_per_item, rename_explode, recent_commits, module_violations,
         closure_ev_whole, cycle_members_whole, scc_components_whole, condensed_edges_whole, trace_missing_whole, trace_missing_by_package_whole,
+        depends_order_whole, ranked_lookup_whole, trace_with_dynamic_whole,
     )
 }
