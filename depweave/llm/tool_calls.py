@@ -6,7 +6,9 @@
 
 Calls meet results by a hash join on (conv_id, call_id). Repeated calls of one identifier count once, the earliest
 wins (least turn, then name, then arguments); of several results the earliest is linked and ``n_results`` counts all.
-One row comes out for each identifier, and for each row without one; status is ``linked``, ``missing`` (no result),
+With ``repeats`` nothing is collapsed: a row comes out for each pair of a call and a result of one identifier, with ``n_results`` 1 or 0,
+so that every text is in the output; m repeated calls with n results give m * n rows. Order then is that of the earliest call.
+Otherwise one row comes out for each identifier, and for each row without one; status is ``linked``, ``missing`` (no result),
 ``orphan`` (result without call) or ``unidentified``.
 
 Topological order: (order_turn, order_hop) rises from each call to those that depend on it and starts at the call's own turn, so
@@ -109,13 +111,18 @@ def _json(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(F.substring(boxed, F.lit(6), F.length(boxed) - 6))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Schemas = SCHEMAS) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: Schemas = SCHEMAS, repeats: bool = False) -> DataFrame:
     """conv_id, call_id, turn, name, status, n_results, valid, errors, order_turn, order_hop, json."""
     has_id = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first = F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("__c")
     one = calls.where(has_id).groupBy(*ID).agg(first).select(*ID, "__c.*")
-    given = results.where(has_id).groupBy(*ID).agg(F.count(F.lit(1)).alias("n_results"), F.min(F.struct("turn", "content")).alias("__r"))
-    both = one.withColumn("__call", F.lit(True)).join(given, ID, "full")
+    if repeats:
+        asked = calls.where(has_id).select(*ID, "turn", "name", "arguments", "depends_on")
+        given = results.where(has_id).select(*ID, F.lit(1).cast("long").alias("n_results"), F.struct("turn", "content").alias("__r"))
+    else:
+        asked = one
+        given = results.where(has_id).groupBy(*ID).agg(F.count(F.lit(1)).alias("n_results"), F.min(F.struct("turn", "content")).alias("__r"))
+    both = asked.withColumn("__call", F.lit(True)).join(given, ID, "full")
     alone = calls.where(~has_id).withColumn("__call", F.lit(True)).select(*ID, "turn", "name", "arguments", "depends_on", "__call")
     both = both.unionByName(alone, allowMissingColumns=True).unionByName(
         results.where(~has_id).select(*ID, F.lit(1).cast("long").alias("n_results"), F.struct("turn", "content").alias("__r")), allowMissingColumns=True
@@ -161,8 +168,8 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: every user and assistant turn of the conversations as linked calls."""
-    return link(*from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")))
+    """op5: every user and assistant turn of the conversations as linked calls, repeated ones too; turns of other roles, or none, give no row, as in the SQL."""
+    return link(*from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")), repeats=True)
 
 
 SQL = """

@@ -76,6 +76,14 @@ def test_query_against_sql_and_empty_table(spark, tmp_path):
     assert C.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)).count() == 0
 
 
+def test_repeated_turns_keep_every_text(spark, tmp_path):
+    rows = [(1, 1, "user", "first"), (1, 1, "user", "second"), (1, 2, "assistant", "one"), (1, 2, "assistant", "two"), (1, 2, "assistant", "two"), (1, 3, "user", "a"), (1, 3, "user", "b"), (2, 2, "assistant", "x"), (2, 2, "assistant", "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert held(spark, str(tmp_path), C.query, C.SQL) == 2 * 3 + 2 + 2
+    text = " ".join(r.json for r in C.query(spark, str(tmp_path)).collect())
+    assert all(f'"{x[3]}"' in text for x in rows)
+
+
 def test_no_python_runs(spark):
     plan = C.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
