@@ -9,7 +9,8 @@ Queries go over the candidates in chunks of about ``CHUNK`` that are broadcast (
 task keeps k rows a query, and k rows a query and task are ranked in the end.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; only vectors of one length
-meet. Ids should be unique; of several vectors with one id the least in array order counts. Fewer candidates than k give
+meet. Ids should be unique; of several vectors with one id the least in array order counts, or with ``repeats``, as in the query,
+every one: each is a candidate of its own, and the pairs of all vectors of a query's id are ranked together. Fewer candidates than k give
 fewer rows. An empty table gives an empty table; other columns are not looked at.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from depweave.llm.common import lean
+from depweave.llm.common import lean, materialise
 
 K = 5
 SCALE = 256
@@ -108,22 +109,27 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vertical: np.ndarray, ids
             best.add(q, total[own].astype(np.int64), ids[live][own])
 
 
-def _plain(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Usable rows (id, x), one for each id."""
+def _plain(vectors: DataFrame, key: str, vector: str, repeats: bool = False) -> DataFrame:
+    """Usable rows (id, x), one for each id; with repeats all, and where ids repeat with a number in ``n``."""
     rows = vectors.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x"))
     n, ids = rows.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
-    return rows if n == ids else rows.groupBy("id").agg(F.min("x").alias("x"))
+    if n == ids:
+        return rows
+    if repeats:
+        return materialise(rows.withColumn("n", F.monotonically_increasing_id()), "vectors")
+    return rows.groupBy("id").agg(F.min("x").alias("x"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", chunk: int = CHUNK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", chunk: int = CHUNK, repeats: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on column ``id``."""
     spark = vectors.sparkSession
-    rows = _plain(vectors, key, vector)
+    rows = _plain(vectors, key, vector, repeats)
+    place = F.xxhash64(*(c for c in rows.columns if c != "x"))
     queries = rows.where(is_query)
     chunks = max(1, -(-queries.count() // chunk))
     found = []
     for c in range(chunks):
-        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).limit(2 * chunk + 1).toArrow()
+        got = queries.where(F.pmod(place, F.lit(chunks)) == c).limit(2 * chunk + 1).toArrow()
         if got.num_rows > 2 * chunk:
             raise ValueError("ids hash unevenly")
         shared = spark.sparkContext.broadcast([(got["id"].to_numpy()[r], np.floor(SCALE * m), r) for b in got.combine_chunks().to_batches() for r, m in by_length(b, "x")])
@@ -153,7 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: the five best of every row for each 50th id."""
-    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.pmod("id", F.lit(EVERY)) == 0)
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.pmod("id", F.lit(EVERY)) == 0, repeats=True)
 
 
 SQL = f"""
