@@ -1,20 +1,20 @@
-"""What the operators of this subpackage share: the shared folder, Arrow helpers, key columns."""
+"""What the operators of this subpackage share: the shared folder, Arrow helpers, names that can't clash."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.session import materialise, scratch_path
 
-__all__ = ["flat", "lean", "materialise", "pieces_of", "scratch_path", "small_batches", "text_bytes"]
+__all__ = ["Sheltered", "flat", "lean", "materialise", "pieces_of", "scratch_path", "small_batches", "text_bytes"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -62,3 +62,25 @@ def pieces_of(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Reco
     starts = np.flatnonzero(np.diff(cut, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(size)], strict=True):
         yield batch.slice(a, b - a)
+
+
+class Sheltered:
+    """A table under names that no operator uses (c0, c1, ...), so that no column of the user's can clash with a helper's.
+
+    Columns that the result makes anew (``made``, whatever their case) are left out, unless they are in ``needed``.
+    """
+
+    def __init__(self, docs: DataFrame, made: Iterable[str] = (), needed: Iterable[str] = ()):
+        self._at = {}
+        for i, c in enumerate(docs.columns):
+            self._at.setdefault(c, f"c{i}")
+            self._at.setdefault(c.lower(), f"c{i}")
+        wanted, gone = {self.of(c) for c in needed}, {m.lower() for m in made}
+        kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if f"c{i}" in wanted or c.lower() not in gone]
+        #: Columns that the result carries on: their names here, and their own.
+        self.inner = [i for i, c in kept if c.lower() not in gone]
+        self.names = [c for _, c in kept if c.lower() not in gone]
+        self.docs = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select(*(i for i, _ in kept))
+
+    def of(self, name: str) -> str:
+        return self._at[name] if name in self._at else self._at[name.lower()]

@@ -1,8 +1,12 @@
 """A compressed FM-index over numbers: bounded suffix order, wavelet tree, backward search for many patterns at once.
 
-The text is a list of segments of word hashes, an end mark after each. Suffixes are sorted by their first ``depth``
-words, ties by position, which is all that backward search for patterns of up to ``depth`` words needs: the counts
-that an interval of a shorter pattern takes from the transformed text don't depend on the order within it.
+The text is a list of segments of words (64-bit numbers), an end mark after each. Suffixes are sorted by their first
+``depth`` words, ties by position, which is all that backward search for patterns of up to ``depth`` words needs: the
+counts that an interval of a shorter pattern takes from the transformed text don't depend on the order within it.
+
+Only the index is kept: the alphabet, the wavelet tree of the transformed text, a bit for each row that begins a group with
+equal ``depth - 1`` words, and positions sampled where a group of several rows with equal ``depth`` words begins. The text and
+the suffix order are dropped once it is built; documents are streamed through it.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ class Bits:
         low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & low)
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) == 1
+
 
 class WaveletTree:
     """Rank of any symbol in a sequence, stored level by level from the highest bit down."""
@@ -61,18 +68,20 @@ def _ranked(first: np.ndarray, second: np.ndarray, shift: int) -> np.ndarray:
     return np.unique(first * (int(second.max(initial=0)) + 1) + late, return_inverse=True)[1]
 
 
+def _heads(ranks: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted ranks begins a group."""
+    return np.concatenate([[True], ranks[1:] != ranks[:-1]]) if len(ranks) else np.zeros(0, dtype=bool)
+
+
 class FMIndex:
-    """Index of segments of word hashes for patterns of up to depth words (at least 4)."""
+    """Index of segments of words for patterns of up to depth words (at least 4)."""
 
     def __init__(self, words: np.ndarray, sizes: np.ndarray, depth: int):
-        self.depth = depth
-        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
-        n = int((sizes + 1).sum())
-        symbols, ids = np.unique(words, return_inverse=True)
-        text = np.zeros(n, dtype=np.int64)
-        place = np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)
-        text[place] = ids + 1
-        self.text, self.sizes, self.most = text, sizes, len(symbols)
+        self.depth, self.rows = depth, int((sizes + 1).sum())
+        self.symbols, ids = np.unique(words, return_inverse=True)
+        most = len(self.symbols)
+        text = np.zeros(self.rows, dtype=np.int64)
+        text[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = ids + 1
         ranks = {1: text}
         p = 1
         while 2 * p <= depth:
@@ -88,17 +97,18 @@ class FMIndex:
                 have += more
             return got
 
-        whole, less = upto(depth), upto(depth - 1)
-        self.suffixes = np.argsort(whole, kind="stable").astype(np.int64)
-        # Rows with the same depth - 1 words are neighbours: the interval of such a pattern.
-        order = less[self.suffixes]
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1], [True]]))
-        self.group = Bits(np.bincount(edge[:-1], minlength=n).astype(np.uint8))
-        self.group_edges = edge
-        last = text[self.suffixes - 1]
-        self.tree = WaveletTree(last, self.most)
-        self.base = self.tree.bases(self.most)
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.most + 1))])[:-1]
+        less, whole = upto(depth - 1), upto(depth)
+        ranks.clear()
+        suffixes = np.argsort(whole, kind="stable")
+        group = _heads(less[suffixes])
+        self.group = Bits(group)
+        self.group_edges = np.append(np.flatnonzero(group), self.rows).astype(np.int32)
+        head = _heads(whole[suffixes])
+        several = head & ~np.append(head[1:], True)
+        self.several, self.earliest = Bits(several), suffixes[several].astype(np.int32)
+        self.tree = WaveletTree(text[suffixes - 1].astype(np.int32), most)
+        self.base = self.tree.bases(most).astype(np.int32)
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=most + 1))])[:-1].astype(np.int32)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: the intervals of symbol + pattern."""
@@ -110,27 +120,31 @@ class FMIndex:
         g = self.group.rank(low + 1) - 1
         return self.group_edges[g], self.group_edges[g + 1]
 
-    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """Streams every segment backwards: (segment, offset) of each depth-word window that also starts earlier in the text.
+    def repeats(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Streams the indexed segments through it, backwards: (segment, offset) of each depth-word window that also starts earlier in the text.
 
         Keeps for each segment the interval of its longest match of at most depth words, which is its matching statistic
         cut at the threshold, and reports where it reaches the threshold with an earlier place in the interval.
         """
-        active = np.argsort(-self.sizes, kind="stable")
-        active = active[self.sizes[active] > 0]
-        low, high = np.zeros(len(active), np.int64), np.full(len(active), len(self.text), np.int64)
+        starts = np.cumsum(sizes) - sizes  # in the stream; in the text there is an end mark after each
+        symbol = (np.searchsorted(self.symbols, words) + 1).astype(np.int32)
+        active = np.argsort(-sizes, kind="stable")
+        active = active[sizes[active] >= self.depth]
+        low, high = np.zeros(len(active), np.int32), np.full(len(active), self.rows, np.int32)
         seg, off = [], []
-        for step in range(int(self.sizes.max(initial=0))):
-            live = int(np.searchsorted(-self.sizes[active], -step, "left"))  # sizes above step
+        for step in range(int(sizes[active].max(initial=0))):
+            live = int(np.searchsorted(-sizes[active], -step, "left"))  # sizes above step
             active, low, high = active[:live], low[:live], high[:live]
-            at = self.starts[active] + self.sizes[active] - 1 - step
+            at = starts[active] + sizes[active] - 1 - step
             if step >= self.depth:
                 low, high = self.shorten(low)
-            low, high = self.extend(self.text[at], low, high)
+            low, high = self.extend(symbol[at], low, high)
             if step >= self.depth - 1:
-                hit = self.suffixes[low] < at
-                seg.append(active[hit])
-                off.append((at - self.starts[active])[hit])
+                shared = np.flatnonzero(self.several.get(low))
+                first = self.earliest[self.several.rank(low[shared])]
+                shared = shared[first < at[shared] + active[shared]]
+                seg.append(active[shared])
+                off.append(at[shared] - starts[active[shared]])
         if not seg:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(seg), np.concatenate(off)

@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op5_tool_calls": tool_calls.SQL,
     "op6_exact_topk": exact_topk.SQL,
     "op7_lattice_dedup": lattice_dedup.SQL,

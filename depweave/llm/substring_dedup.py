@@ -5,27 +5,31 @@ words start earlier, in a smaller doc_id or before in the same document. Every w
 
 How windows meet without comparing every shard with every document: a window's anchor is the least hash of its
 ``ANCHOR``-word runs. Neighbouring windows with one anchor form a segment; equal windows have equal anchors and so
-meet in the shard their anchor is dealt to.
-
-1. Segments are cut in the scan; of equal ones within a slice of the scan all but the earliest are repeats already and
-   only pass through, so a passage that a third of all documents share crosses the shuffle once a slice.
-2. By anchor, sorted: of equal segments the earliest stays, the others are repeats. Anchors with one distinct segment
-   are done; the others' segments, and those that hold their anchor twice, are candidates.
-3. Candidates' words are fetched, dealt by anchor and indexed in shards of about ``SHARD`` words that hold whole
-   anchors; each segment streams through its shard's FM-index, which reports the windows with an earlier place.
-   Anchors with more than ``CROWD`` distinct segments, or as many words as those would have, are too much for a shard:
-   their windows are compared by a 128-bit hash instead, aggregated before the shuffle.
+are dealt to one shard. Anchors only deal windows and leave out those whose anchor no other segment has; what repeats
+what is decided by FM-indexes alone: every shard's segments are indexed and streamed through the index, which reports the
+windows with an earlier place.
+
+1. Segments are cut in the scan. Those of a slice that share an anchor, or hold theirs twice, are a shard already: of a passage
+   that a third of all documents share, one copy a slice goes on.
+2. Anchors are counted, aggregated before the shuffle; segments with a shared anchor get their words.
+3. They are dealt by anchor to shards of about ``SHARD`` words. An anchor with more than ``GROUP`` segments is dealt in groups
+   of about that size by a hash of their place, each a part of a shard; what no group finds repeated goes on to a next round,
+   dealt by a narrower key: the three least runs of a window, then the window itself. Equal windows always meet in the end,
+   and no task holds a large group. Rounds end when no group is too large; copies shrink by ``GROUP`` each round.
 4. Repeats are gathered by document (no more than it has words) and cut out.
 
-Words are compared by 64-bit hashes of their bytes, windows so by 1280 bits. Ids should be unique: rows with the same id
+Words are compared by 64-bit hashes of their bytes under a secret key drawn for each call, so windows that agree in all words but
+one are taken for equal with probability 2**-64, whatever the texts. Ids should be unique: rows with the same id
 and text are one document and get the same result; different texts with one id go in order of their SHA-256, null
-ids come last. Null and empty texts have no words. Empty tables give empty tables, other columns pass through.
+ids come last. Null and empty texts have no words; very long ones are cut like others, in segments of up to ``LONGEST`` windows.
+Empty tables give empty tables, other columns pass through whatever their names, but for those that the result makes anew.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,19 +38,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import flat, lean, materialise, pieces_of, small_batches, text_bytes
+from depweave.llm.common import Sheltered, flat, lean, materialise, pieces_of, small_batches, text_bytes
 from depweave.llm.fm_index import FMIndex
 
 WINDOW = 20
 ANCHOR = 6
 SLICE_BYTES = 1 << 20
-SHARD = 1 << 18
-CROWD = 10_000
-LONGEST = 4096
+SHARD = 1 << 17
+GROUP = 500
+LONGEST = 256
+#: Words beyond it are hashed one by one.
+LONG_WORD = 64
 
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -67,18 +71,38 @@ def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ranges:
-    """Hashes of ranges of a sequence of numbers, each in constant time."""
+    """Hashes of ranges of a sequence of numbers, each in constant time. They only deal windows: equal ranges have equal hashes."""
 
-    def __init__(self, values: np.ndarray, base: np.uint64):
-        up, self.down = _powers(int(base), max(16, len(values).bit_length()))
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers(int(_BASE), max(16, len(values).bit_length()))
         self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mix((self.total[stop] - self.total[start]) * self.down[start] + (stop - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-
-def words_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, stop, document and hash of every word of texts that lie end to end."""
+        return _mix((self.total[stop] - self.total[start]) * self.down[start])
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, secret: int) -> np.ndarray:
+    """64-bit hashes of byte ranges under a key: each eight bytes are mixed into the state so far; long words by BLAKE2."""
+    size = stop - start
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw),), np.uint64, padded, strides=(1,))
+    key = np.uint64(secret)
+    state = _mix(size.astype(np.uint64) ^ key)
+    live = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(live):
+        left = size[live] - done
+        here = np.where(left >= 8, ~np.uint64(0), (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1))
+        state[live] = _mix((state[live] ^ (eight[start[live] + done] & here)) + key)
+        done += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        state[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : stop[i]], digest_size=8, key=secret.to_bytes(8, "little")).digest(), "little")
+    return state
+
+
+def words_of(offsets: np.ndarray, raw: np.ndarray, secret: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Start, stop, document and, with a key, hash of every word of texts that lie end to end."""
     n = len(raw)
     inside = ~_SPACE[raw]
     cut = np.zeros(n + 1, dtype=bool)
@@ -88,266 +112,242 @@ def words_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start = np.flatnonzero(inside & (~before | cut[:n]))
     stop = np.flatnonzero(inside & (~after | cut[1:])) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
-    return start, stop, doc, Ranges(_BYTE[raw], _BASE).of(start, stop)
+    return start, stop, doc, None if secret is None else word_hashes(raw, start, stop, secret)
 
 
-def segments(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: first word, number of windows, anchor, hash of all their words, whether the anchor comes twice."""
-    none = np.zeros(0, np.int64)
-    if len(word) < WINDOW:
-        return none, none, none, none, none.astype(bool)
-    ranges = Ranges(word, _WORD_BASE)
+def window_keys(word: np.ndarray, level: int) -> np.ndarray:
+    """What deals the window that starts at each word: its least run (0), its three least runs (1), all its words (2)."""
+    ranges = Ranges(word)
+    if level == 2:
+        i = np.arange(len(word) - WINDOW + 1)
+        return ranges.of(i, i + WINDOW)
     i = np.arange(len(word) - ANCHOR + 1)
     gram = ranges.of(i, i + ANCHOR)
-    reach, least = 1, gram
     width = WINDOW - ANCHOR + 1
+    if level == 1:
+        least = np.sort(np.partition(np.lib.stride_tricks.sliding_window_view(gram, width), 2, axis=1)[:, :3], axis=1)
+        return _mix(least[:, 0] + _mix(least[:, 1] + _mix(least[:, 2])))
+    reach, least = 1, gram
     while reach < width:
         step = min(reach, width - reach)
         least = np.minimum(least[: len(least) - step], least[step:])
         reach += step
-    valid = doc[: len(least)] == doc[WINDOW - 1 :]
-    same = np.concatenate([[False], valid[1:] & valid[:-1] & (least[1:] == least[:-1])])
+    return least
+
+
+def doubled(word: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether segments cut by their least run hold it twice: others can't repeat a window of their own."""
+    span = n + WINDOW - ANCHOR
+    at = spread(start, span)
+    times = np.add.reduceat((Ranges(word).of(at, at + ANCHOR).view(np.int64) == np.repeat(key, span)).astype(np.int32), np.cumsum(span) - span)
+    return times > 1
+
+
+def segments(doc: np.ndarray, word: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one key, of ``LONGEST`` windows at most: first word, number of windows, key."""
+    none = np.zeros(0, np.int64)
+    if len(word) < WINDOW:
+        return none, none, none
+    key = window_keys(word, level)
+    valid = doc[: len(key)] == doc[WINDOW - 1 :]
+    same = np.concatenate([[False], valid[1:] & valid[:-1] & (key[1:] == key[:-1])])
     start = np.flatnonzero(valid & ~same)
-    if not len(start):
-        return none, none, none, none, none.astype(bool)
     # A run ends before the next run or at its document's last window.
     ends = np.flatnonzero(valid & ~np.concatenate([same[1:], [False]]))
-    # Words that go on repeating give one long run; it is cut, and equal pieces of it are repeats at once.
     parts = (ends - start) // LONGEST + 1
     start = np.repeat(start, parts) + LONGEST * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
     n = np.minimum(np.repeat(ends, parts) - start + 1, LONGEST)
-    span = n + width - 1
-    place = np.repeat(start - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(int(span.sum()))
-    times = np.add.reduceat((gram[place] == np.repeat(least[start], span)).astype(np.int32), np.concatenate([[0], np.cumsum(span)[:-1]]))
-    return start, n, least[start].view(np.int64), ranges.of(start, start + n + WINDOW - 1).view(np.int64), times > 1
+    return start, n, key[start].view(np.int64)
 
 
-def _cut(docs: DataFrame, text: str) -> DataFrame:
-    """Step 1. docs: k and the text. Rows (anchor, seg, k, at): at holds first word, windows and the mark of a doubled anchor; a null seg is a known repeat."""
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, n of them, end to end."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces_of(whole, text, SLICE_BYTES):
-                _, _, doc, word = words_of(*flat(batch.column(text)))
-                start, n, anchor, seg, twice = segments(doc, word)
-                if not len(start):
-                    continue
-                owner = doc[start]
-                k = batch.column("k").to_numpy()[owner]
-                first_word = np.searchsorted(doc, owner, "left")
-                at = (start - first_word) << 32 | n << 1 | twice
-                order = np.lexsort((at, k, seg, anchor))
-                again = np.concatenate([[False], (seg[order][1:] == seg[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])])
-                repeat = np.zeros(len(start), dtype=bool)
-                repeat[order[again]] = True
-                key = np.where(repeat, _mix((k ^ at).view(np.uint64)).view(np.int64), anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg, mask=repeat), pa.array(k), pa.array(at)], ["anchor", "seg", "k", "at"])
 
-    return docs.select("k", text).mapInArrow(lean(run), "anchor long, seg long, k long, at long")
+def runs(n: np.ndarray, seg: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of n windows as runs of repeats (seg, off) and of others: segment, first window, number of windows, whether repeats."""
+    base = np.cumsum(n) - n
+    flag = np.zeros(int(n.sum()), dtype=bool)
+    flag[base[seg] + off] = True
+    owner = np.repeat(np.arange(len(n)), n)
+    head = np.flatnonzero(np.concatenate([[True], (flag[1:] != flag[:-1]) | (owner[1:] != owner[:-1])])) if len(flag) else np.zeros(0, np.int64)
+    return owner[head], head - base[owner[head]], np.diff(np.append(head, len(flag))), flag[head]
+
 
+def shard_repeats(sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, window) of the repeats within one shard, by its FM-index; segments in order of their place."""
+    return FMIndex(words, sizes, WINDOW).repeats(words, sizes)
 
-def _meet(cut: DataFrame) -> DataFrame:
-    """Step 2. Rows (anchor, k, at): null anchors are repeats, others candidates."""
+
+def _cut(docs: DataFrame, text: str, secret: int) -> DataFrame:
+    """Step 1. docs: k and the text. Rows (key, k, first, n) of neighbouring windows; a null key is a known repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last anchor's only segment so far
-        last_anchor = last_seg = None
-        many = False  # the last anchor has several
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            known = batch.column("seg").is_null().to_numpy(zero_copy_only=False)
-            anchor, k, at = (batch.column(c).to_numpy() for c in ("anchor", "k", "at"))
-            seg = batch.column("seg").fill_null(0).to_numpy()
-            if known.any():
-                yield _marks(None, k[known], at[known])
-                anchor, seg, k, at = anchor[~known], seg[~known], k[~known], at[~known]
-            if not len(anchor):
-                continue
-            new_anchor = np.concatenate([[anchor[0] != last_anchor], anchor[1:] != anchor[:-1]])
-            new_seg = new_anchor | np.concatenate([[seg[0] != last_seg], seg[1:] != seg[:-1]])
-            if (~new_seg).any():
-                yield _marks(None, k[~new_seg], at[~new_seg])
-            first = np.flatnonzero(new_seg)
-            group = np.cumsum(new_anchor)  # 0: goes on from the batch before
-            count = np.bincount(group[first], minlength=group[-1] + 1)
-            if count[0] and held is not None:
-                yield _marks(*held)
-                held, many = None, True
-            several = count > 1
-            several[0] = bool(count[0])  # with the one before
-            if group[-1] and held is not None:
-                if held[2][0] & 1:
-                    yield _marks(*held)
-                held = None
-            send = several[group[first]] | (at[first] & 1).astype(bool)
-            final = group[first] == group[-1]
-            if group[-1] and count[-1] == 1:  # wait for more of the last anchor
-                x = first[final]
-                held, many = (anchor[x], k[x], at[x]), False
-                send &= ~final
-            elif group[-1]:
-                held, many = None, True
-            if send.any():
-                x = first[send]
-                yield _marks(anchor[x], k[x], at[x])
-            last_anchor, last_seg = anchor[-1], seg[-1]
-        if held is not None and held[2][0] & 1:
-            yield _marks(*held)
-
-    return cut.repartition("anchor").sortWithinPartitions(F.col("seg").isNull(), "anchor", "seg", "k", "at").mapInArrow(lean(run), "anchor long, k long, at long")
-
-
-def _marks(anchor, k, at) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()) if anchor is None else pa.array(anchor), pa.array(k), pa.array(at)], ["anchor", "k", "at"])
-
-
-def _fetch(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """Candidates with their words' hashes. wanted: k and an array of structs (first, n, anchor, crowded)."""
+        for whole in batches:
+            for batch in pieces_of(whole, text, SLICE_BYTES):
+                _, _, doc, word = words_of(*flat(batch.column(text)), secret)
+                start, n, key = segments(doc, word)
+                if not len(start):
+                    continue
+                k = batch.column("k").to_numpy()[doc[start]]
+                first = start - np.searchsorted(doc, doc[start], "left")
+                _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+                several = (times[which] > 1) | doubled(word, start, n, key)
+                shared, lone = np.flatnonzero(several), np.flatnonzero(~several)
+                columns = [(key[lone], np.zeros(len(lone), bool), k[lone], first[lone], n[lone])]
+                if len(shared):
+                    shared = shared[np.lexsort((first[shared], k[shared]))]
+                    sizes = n[shared] + WINDOW - 1
+                    seg, off, length, repeat = runs(n[shared], *shard_repeats(sizes, word[spread(start[shared], sizes)]))
+                    seg = shared[seg]
+                    columns.append((key[seg], repeat, k[seg], first[seg] + off, length))
+                key, repeat, k, first, n = (np.concatenate(c) for c in zip(*columns, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key, mask=repeat), pa.array(k), pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["key", "k", "first", "n"])
+
+    return docs.select("k", text).mapInArrow(lean(run), "key long, k long, first long, n long")
+
+
+def _fetch(docs: DataFrame, text: str, wanted: DataFrame, secret: int) -> DataFrame:
+    """Step 2. Segments with their words' hashes. wanted: k and an array of structs (first, n, key, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "k", "first", "crowded", "words"]
+        names = ["key", "times", "k", "first", "words"]
         for whole in batches:
             for batch in pieces_of(whole, text, SLICE_BYTES):
-                _, _, doc, word = words_of(*flat(batch.column(text)))
+                _, _, doc, word = words_of(*flat(batch.column(text)), secret)
                 begin = np.searchsorted(doc, np.arange(batch.num_rows), "left")
                 lists = batch.column("wanted")
                 row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
                 inner = lists.flatten()
                 first, n = inner.field("first").to_numpy(), inner.field("n").to_numpy()
-                raw = [word[a : a + m + WINDOW - 1].tobytes() for a, m in zip(begin[row] + first, n, strict=True)]
-                for a in range(0, len(raw), 20_000):
+                for a in range(0, len(row), 20_000):
                     part = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [inner.field("anchor")[part], pa.array(batch.column("k").to_numpy()[row[part]]), pa.array(first[part]), inner.field("crowded")[part], pa.array(raw[part], pa.binary())], names
-                    )
-
-    return docs.join(wanted, "k").mapInArrow(lean(run), "anchor long, k long, first long, crowded boolean, words binary")
+                    raw = [word[b : b + m + WINDOW - 1].tobytes() for b, m in zip(begin[row[part]] + first[part], n[part], strict=True)]
+                    yield pa.RecordBatch.from_arrays([inner.field("key")[part], inner.field("times")[part], pa.array(batch.column("k").to_numpy()[row[part]]), pa.array(first[part]), pa.array(raw, pa.binary())], names)
 
+    return docs.join(wanted, "k").mapInArrow(lean(run), "key long, times long, k long, first long, words binary")
 
-def shard_repeats(sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window) of the repeats within one shard, by its FM-index."""
-    return FMIndex(words, sizes, WINDOW).repeats()
 
+def _search(rows: DataFrame, shard: int) -> DataFrame:
+    """Step 3. rows: deal, more (whether its group is one of several), k, first, words. Rows (k, first, n, words): repeats with null words; what ``more`` leaves open with its words."""
 
-def _search(fetched: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Step 3. Rows (k, first, n): repeated windows, neighbours joined."""
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        k, first, more = table["k"].to_numpy(), table["first"].to_numpy(), table["more"].to_numpy()
+        order = np.lexsort((first, k))  # what is earlier in the text is earlier in the documents
+        at, raw = flat(table["words"])
+        words = np.frombuffer(raw.tobytes(), np.uint64)
+        begin, sizes = at[:-1][order] // 8, np.diff(at)[order] // 8
+        k, first, more = k[order], first[order], more[order]
+        seg, off, n, repeat = runs(sizes - WINDOW + 1, *shard_repeats(sizes, words[spread(begin, sizes)]))
+        out = np.flatnonzero(repeat | more[seg])
+        seg, off, n, repeat = seg[out], off[out], n[out], repeat[out]
+        open_ = [None if r else words[b : b + m + WINDOW - 1].tobytes() for r, b, m in zip(repeat, begin[seg] + off, n, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(k[seg]), pa.array(first[seg] + off), pa.array(n, pa.int64()), pa.array(open_, pa.binary())], ["k", "first", "n", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-
-        def search() -> pa.RecordBatch | None:
-            table = pa.Table.from_batches(rows).combine_chunks()
-            at, raw = flat(table["words"])
-            seg, off = shard_repeats(np.diff(at) // 8, np.frombuffer(raw.tobytes(), np.uint64))
-            if not len(seg):
-                return None
-            order = np.lexsort((off, seg))
-            seg, off = seg[order], off[order]
-            head = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (off[1:] != off[:-1] + 1)]))
-            n = np.diff(np.append(head, len(seg)))
-            return pa.RecordBatch.from_arrays([pa.array(table["k"].to_numpy()[seg[head]]), pa.array(table["first"].to_numpy()[seg[head]] + off[head]), pa.array(n)], ["k", "first", "n"])
-
         for batch in batches:
-            anchor = batch.column("anchor").to_numpy()
-            cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1), len(anchor)] if len(anchor) else [0]
-            width = np.diff(flat(batch.column("words"))[0]) // 8
-            total = np.concatenate([[0], np.cumsum(width)])
+            deal = batch.column("deal").to_numpy()
+            if not len(deal):
+                continue
+            total = np.concatenate([[0], flat(batch.column("words"))[0][1:] // 8])
             done = 0
-            for c in cuts[:-1]:
-                # A shard may end where an anchor does.
-                ended = c > 0 or (rows and rows[-1].column("anchor")[-1].as_py() != anchor[0])
+            for c in [0, *(np.flatnonzero(deal[1:] != deal[:-1]) + 1)]:
+                # A shard may end where a group does.
+                ended = c > 0 or (held and held[-1].column("deal")[-1].as_py() != deal[0])
                 if ended and size + total[c] - total[done] >= shard:
-                    rows.append(batch.slice(done, c - done))
-                    if found := search():
-                        yield found
-                    rows, size, done = [], 0, c
-            if len(anchor) > done:
-                rows.append(batch.slice(done))
-                size += int(total[-1] - total[done])
-        if rows and (found := search()):
-            yield found
+                    if c > done:
+                        held.append(batch.slice(done, c - done))
+                    yield found(held)
+                    held, size, done = [], 0, c
+            held.append(batch.slice(done))
+            size += int(total[-1] - total[done])
+        if held:
+            yield found(held)
 
-    return fetched.repartition("anchor").sortWithinPartitions("anchor", "k", "first").mapInArrow(lean(run), "k long, first long, n long")
+    return rows.repartition("deal").sortWithinPartitions("deal").mapInArrow(lean(run), "k long, first long, n long, words binary")
 
 
-def _windows(crowded: DataFrame) -> DataFrame:
-    """Repeats of anchors with too many segments: each window by its hash, the earliest stays."""
+def _narrower(rest: DataFrame, level: int) -> DataFrame:
+    """Open segments cut anew by a narrower key: (key, k, first, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, raw = flat(batch.column("words"))
-            size = np.diff(at) // 8
-            word = np.frombuffer(raw.tobytes(), np.uint64)
-            n = size - WINDOW + 1
-            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-            seg = np.repeat(np.arange(len(size)), n)
-            off = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            place = begin[seg] + off
-            high = Ranges(word, _WORD_BASE).of(place, place + WINDOW)
-            low = Ranges(_mix(word), _BASE).of(place, place + WINDOW)
-            k, first = batch.column("k").to_numpy(), batch.column("first").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(k[seg]), pa.array(first[seg] + off)], ["high", "low", "k", "first"])
-
-    each = materialise(crowded.mapInArrow(lean(run), "high long, low long, k long, first long"), "crowded-windows")
-    least = each.groupBy("high", "low").agg(F.min(F.struct("k", "first")).alias("least"))
-    return each.join(least, ["high", "low"]).where(F.struct("k", "first") != F.col("least")).select("k", "first", F.lit(1).cast("long").alias("n"))
+        for whole in batches:
+            for batch in pieces_of(whole, "words", SLICE_BYTES):
+                at, raw = flat(batch.column("words"))
+                word, at = np.frombuffer(raw.tobytes(), np.uint64), at // 8
+                own = np.repeat(np.arange(batch.num_rows), np.diff(at))
+                start, n, key = segments(own, word, level)
+                own = own[start]
+                first = batch.column("first").to_numpy()[own] + start - at[own]
+                raw = [word[a : a + m + WINDOW - 1].tobytes() for a, m in zip(start, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(batch.column("k").to_numpy()[own]), pa.array(first), pa.array(raw, pa.binary())], ["key", "k", "first", "words"])
+
+    return rest.select("k", "first", "words").mapInArrow(lean(run), "key long, k long, first long, words binary")
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """(key, times) of keys that several segments have, as a table of its own: adaptive execution can split its join with a hot key."""
+    return materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "shared-keys")
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
-    """docs with k, a long in the order of documents; False if several rows may share one."""
+    """docs with k, a long in the order of documents; False if several rows may share one. Names as in ``Sheltered``."""
     whole = docs.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
     rows, ids, nulls = docs.agg(F.count(F.lit(1)), F.count_distinct(key), F.count_if(F.col(key).isNull())).first()
     if whole and rows == ids and not nulls:
         return docs.withColumn("k", F.col(key).cast("long")), True
-    keyed = docs.withColumn("__sha", F.sha2(text_bytes(text), 256))
-    order = keyed.select(F.col(key).alias("__key"), "__sha").distinct().repartitionByRange(F.col("__key").asc_nulls_last(), "__sha").sortWithinPartitions(F.col("__key").asc_nulls_last(), "__sha")
-    order = materialise(order.withColumn("k", F.monotonically_increasing_id()), "document-order").withColumnRenamed("__sha", "__of")
-    return keyed.join(order, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__sha") == F.col("__of"))).drop("__key", "__of", "__sha"), False
+    keyed = docs.withColumn("sha", F.sha2(text_bytes(text), 256))
+    order = keyed.select(F.col(key).alias("id"), "sha").distinct().repartitionByRange(F.col("id").asc_nulls_last(), "sha").sortWithinPartitions(F.col("id").asc_nulls_last(), "sha")
+    order = materialise(order.withColumn("k", F.monotonically_increasing_id()), "document-order").withColumnRenamed("sha", "of")
+    return keyed.join(order, F.col(key).eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of"))).drop("id", "of", "sha"), False
 
 
-def repeats(source: DataFrame, text: str = "text", crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
+def repeats(source: DataFrame, text: str = "text", group: int = GROUP, shard: int = SHARD) -> DataFrame:
     """(k, first, n): n neighbouring windows from word number first on are repeats. source: k and the text, one row a document; other columns are carried along."""
-    met = materialise(_meet(_cut(source, text)), "segments")
-    first, n = F.shiftright("at", 32).alias("first"), F.shiftright(F.col("at").bitwiseAND((1 << 32) - 1), 1).alias("n")
-    known = met.where("anchor IS NULL").select("k", first, n)
-    wanted = met.where("anchor IS NOT NULL").select("anchor", "k", first, n)
-    sizes = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("n") + WINDOW - 1).alias("words"))
-    crowds = materialise(sizes.where((F.col("segments") > crowd) | (F.col("words") > crowd * 2 * WINDOW)).select("anchor", F.lit(True).alias("crowded")), "crowds")
-    there = not crowds.isEmpty()
-    wanted = wanted.join(crowds, "anchor", "left") if there else wanted.withColumn("crowded", F.lit(None).cast("boolean"))
-    by_doc = wanted.groupBy("k").agg(F.collect_list(F.struct("first", "n", "anchor", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted"))
-    fetched = _fetch(source, text, by_doc)
-    if there:
-        fetched = materialise(fetched, "candidates")
-    found = known.unionByName(_search(fetched.where("NOT crowded") if there else fetched, shard))
-    return found.unionByName(_windows(fetched.where("crowded"))) if there else found
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
+    secret = secrets.randbits(64)
+    cut = materialise(_cut(source, text, secret), "segments")
+    known = cut.where("key IS NULL").select("k", "first", "n")
+    wanted = cut.where("key IS NOT NULL")
+    wanted = wanted.join(_shared(wanted.select("key")), "key").groupBy("k").agg(F.collect_list(F.struct("first", "n", "key", "times")).alias("wanted"))
+    rows = _fetch(source, text, wanted, secret)
+    level = 0
+    while True:
+        groups = F.when(F.col("times") > group, F.ceil(F.col("times") / group)).otherwise(1)
+        place = F.pmod(F.xxhash64("k", "first", F.lit(level)), groups)
+        dealt = rows.select(F.xxhash64("key", place).alias("deal"), (groups > 1).alias("more"), "k", "first", "words")
+        matches = materialise(_search(dealt, shard), "matches")
+        known = known.unionByName(matches.where("words IS NULL").select("k", "first", "n"))
+        rest = matches.where("words IS NOT NULL")
+        if rest.isEmpty():
+            return known
+        level += 1
+        again = materialise(_narrower(rest, min(level, 2)), "narrower")
+        rows = again.join(_shared(again.select("key")), "key")
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP, shard: int = SHARD) -> DataFrame:
     """All columns of docs, the text without repeats (untouched if it has none), and n_words, n_removed, kept_sha256.
 
     The SHA-256 is that of the kept words joined by one space. Between kept words that were neighbours the text keeps its white space.
     """
     small_batches(docs.sparkSession)
     made = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
-    others = [x for x in docs.schema if x.name not in made]
-    base = docs.select(*(x.name for x in others))
-    clash = {c: f"__own_{c}" for c in ("k", "gone", "wanted") if c in base.columns and c not in (key, text)}
-    keyed, unique = numbered(base.withColumnsRenamed(clash), key, text)
+    own = Sheltered(docs, made, [key, text])
+    body, inner = own.of(text), own.inner
+    keyed, unique = numbered(own.docs, own.of(key), body)
     # Candidates' words and the last step take the same columns by the same key, so one shuffle of the texts serves both.
-    full = keyed.where("k IS NOT NULL")
-    gone = repeats(full if unique else full.dropDuplicates(["k"]), text, crowd, shard)
-    gone = gone.groupBy("k").agg(F.collect_list(F.struct("first", F.col("n").alias("n"))).alias("gone"))
-    back = {v: k for k, v in clash.items()}
-    inner = [x for x in full.columns if x != "k"]
-    out_schema = T.StructType([T.StructField(back.get(c, c), full.schema[c].dataType) for c in inner] + [T.StructField(n, t) for n, t in made.items()])
+    gone = repeats(keyed if unique else keyed.dropDuplicates(["k"]), body, group, shard)
+    gone = gone.groupBy("k").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
+    out_schema = T.StructType([T.StructField(i, keyed.schema[i].dataType) for i in inner] + [T.StructField(n, t) for n, t in made.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, text, SLICE_BYTES):
-                have = batch.column(text).cast(pa.binary())
+            for batch in pieces_of(whole, body, SLICE_BYTES):
+                have = batch.column(body).cast(pa.binary())
                 texts, n_words, n_removed, shas = [], [], [], []
                 for value, cut in zip(have, batch.column("gone"), strict=True):
                     raw = value.as_py()
@@ -371,13 +371,24 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int =
                 made_text = pa.array(texts, pa.binary())
                 # As text without checking it once more.
                 made_text = pa.Array.from_buffers(pa.string(), len(made_text), made_text.buffers(), made_text.null_count)
-                columns = [made_text if c == text else batch.column(c) for c in inner]
+                columns = [made_text if c == body else batch.column(c) for c in inner]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas)], out_schema.names)
 
-    return full.join(gone, "k", "left").mapInArrow(lean(run), out_schema)
+    return keyed.join(gone, "k", "left").mapInArrow(lean(run), out_schema).toDF(*own.names, *made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: what repeats take from every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = f"""
+WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+words AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM texts),
+windows AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + {WINDOW - 1} <= len(ws) THEN array_to_string(ws[i:i + {WINDOW - 1}], ' ') END AS w FROM words),
+judged AS (SELECT doc_id, i, word, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM windows),
+covered AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS {WINDOW - 1} PRECEDING) AS gone FROM judged),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS rest FROM covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from depweave.llm import substring_dedup as D
 from depweave.llm.fm_index import FMIndex, WaveletTree
+from tests.compare import held
 
 
 def slow(docs):
@@ -59,7 +60,7 @@ def test_index_finds_every_repeat(depth):
     sizes = rng.integers(1, 60, 80)
     words = rng.integers(0, 2, int(sizes.sum())).astype(np.uint64) * np.uint64(1 << 60)
     words[rng.random(len(words)) < 0.02] = 7
-    seg, off = FMIndex(words, sizes, depth).repeats()
+    seg, off = FMIndex(words, sizes, depth).repeats(words, sizes)
     seen, want, at = set(), set(), 0
     for s, n in enumerate(sizes):
         for i in range(n - depth + 1):
@@ -70,11 +71,11 @@ def test_index_finds_every_repeat(depth):
     assert set(zip(seg.tolist(), off.tolist())) == want and len(seg) == len(want)
 
 
-@pytest.mark.parametrize("crowd,shard,seed", [(D.CROWD, D.SHARD, 1), (2, 50, 2), (0, 1, 3), (D.CROWD, 30, 4)])
-def test_against_brute_force(spark, crowd, shard, seed):
+@pytest.mark.parametrize("group,shard,seed", [(D.GROUP, D.SHARD, 1), (4, 50, 2), (2, 1, 3), (D.GROUP, 30, 4)])
+def test_against_brute_force(spark, group, shard, seed):
     docs = corpus(seed)
-    df = spark.createDataFrame([(10 * i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, k string").repartition(3)
-    got = {r.doc_id: r for r in D.dedup(df, crowd=crowd, shard=shard).collect()}
+    df = spark.createDataFrame([(10 * i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, k string").repartition(7)
+    got = {r.doc_id: r for r in D.dedup(df, group=group, shard=shard).collect()}
     assert len(got) == len(docs)
     for i, (n, removed, kept) in enumerate(slow(docs)):
         r = got[10 * i]
@@ -83,12 +84,12 @@ def test_against_brute_force(spark, crowd, shard, seed):
         assert r.k == "x"
 
 
-@pytest.mark.parametrize("crowd", [D.CROWD, 5])
-def test_long_runs_of_repeating_words(spark, crowd):
+@pytest.mark.parametrize("group", [D.GROUP, 5])
+def test_long_runs_of_repeating_words(spark, group):
     """Runs of windows with one anchor that are longer than a piece, alone and across documents."""
     docs = ["ab " * 9000, "q " + "x y z " * 3000, "x y z " * 2999 + "end", " ".join(f"u{i}" for i in range(30)) + " ab" * 5000]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    got = {r.doc_id: r for r in D.dedup(df, crowd=crowd).collect()}
+    got = {r.doc_id: r for r in D.dedup(df, group=group).collect()}
     for i, (n, removed, kept) in enumerate(slow(docs)):
         r = got[i]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, removed, hashlib.sha256(" ".join(kept).encode()).hexdigest()), i
@@ -109,6 +110,54 @@ def test_sample_table(spark):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, removed, hashlib.sha256(" ".join(kept).encode()).hexdigest())
 
 
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """The two Thue-Morse words of 1,024 letters differ, so the documents that end in them share no window."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    same = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{same} {morse}"), (2, f"{same} {morse.translate(str.maketrans('ab', 'ba'))}"), (3, f"{same} {morse}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in D.dedup(docs).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_hashes_of_words():
+    words = [b"", b"a", b"b", b"ab", b"a" * 7, b"a" * 8, b"a" * 9, b"a" * 16, b"a" * 63 + b"b", b"a" * 64, b"a" * 65, b"a" * 64 + b"b", b"b" * 8 + b"a" * 8]
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    stop = np.cumsum([len(w) for w in words])
+    start = stop - [len(w) for w in words]
+    got = D.word_hashes(raw, start, stop, 5)
+    assert len(set(got.tolist())) == len(words) and (got != D.word_hashes(raw, start, stop, 6)).all()
+    later = np.frombuffer(b"xyz" + raw.tobytes(), np.uint8)
+    assert (D.word_hashes(later, start + 3, stop + 3, 5) == got).all()
+
+
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_every_window_is_in_one_segment_and_equal_ones_have_equal_keys(level):
+    rng = np.random.default_rng(level)
+    word = rng.integers(0, 3, 900).astype(np.uint64)
+    word[300:360] = word[600:660]
+    doc = np.repeat([0, 1, 2, 4], [10, 400, 19, 471])
+    start, n, key = D.segments(doc, word, level)
+    places = D.spread(start, n)
+    assert sorted(places.tolist()) == [i for i in range(881) if doc[i] == doc[i + 19]]
+    of = dict(zip(places.tolist(), np.repeat(key, n).tolist()))
+    by_words = {}
+    for i, k in of.items():
+        assert by_words.setdefault(tuple(word[i : i + 20].tolist()), k) == k
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["k", "key", "sha", "of", "gone", "wanted", "first", "n", "words", "deal", "c0", "c1", "__key", "__sha", "N_Words", "a.b"]
+    text = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, text, *names), (1, text + " x", *names), (None, text, *names)]
+    out = D.dedup(spark.createDataFrame(rows, ["doc_id", "text", *names]))
+    assert out.columns == ["doc_id", "text", *(n for n in names if n != "N_Words"), "n_words", "n_removed", "kept_sha256"]
+    got = [r.asDict() for r in out.collect()]
+    assert all(r[n] == n for r in got for n in names if n != "N_Words") and sorted((r["doc_id"] or 9, r["n_removed"]) for r in got) in ([(1, 0), (1, 25), (9, 25)],)
+
+
+def test_query_against_sql(spark):
+    assert held(spark, "/root/testdata/sf0.001", D.query, D.SQL) == 200
+
+
 def test_empty_table(spark):
     assert D.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert D.dedup(spark.createDataFrame([(1, "a b")], "doc_id long, text string").withColumn("n_words", F.lit("clash"))).first().n_words == 2
