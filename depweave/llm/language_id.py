@@ -3,16 +3,17 @@
 The vocabulary is fixed and public: the letter pieces of a sentencepiece file, lower-cased, with their mark of a word's
 start. Each language has a probability for each piece; a word's likelihood is the sum over all of its segmentations
 into pieces of their products, by the forward algorithm, and a text's the product over its words, which are runs of
-letters of the lower-cased, composed text. A letter that is no piece counts as an unknown piece, alike in every language.
-The prediction is the likeliest language, its score the share of its likelihood in the sum over languages.
+letters of the lower-cased, composed text. Letters that are no piece are one more piece, unknown, with a probability of its own in
+each language. The prediction is the likeliest language, its score the share of its likelihood in the sum over languages.
 
-Probabilities are fitted by expectation-maximisation on words of up to ``TRAIN_DOCS`` or so labelled texts a language,
-taken by a hash of the id: the mean number is the parameter, every row has the same chance. They are whole texts. Rows whose
-crc32(id as text) mod 4 is 2, null ids and null languages are never learned from.
+Probabilities are fitted by expectation-maximisation on all words, short and long, of up to ``TRAIN_DOCS`` or so labelled texts a
+language, taken by a hash of the id: the mean number is the parameter, every row has the same chance. They are whole texts. Rows whose
+crc32(id as text) mod 4 is 2, null ids and null languages are never learned from. Each language is fitted in a task of its own, which
+holds that sample's distinct words; the driver holds the probabilities, of the ``LANGUAGES`` labels with the most rows.
 
 ``und`` with score 0 if the text is null or has no letter, or nothing could be learned. Ties go to the first language in
 text order. Scores of repeated rows are equal; an empty table gives an empty table; texts are scored whole, long ones
-like short ones; other columns pass through unless they are named as a result.
+like short ones; other columns pass through, whatever their names, unless they are named as a result.
 """
 
 from __future__ import annotations
@@ -29,18 +30,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import lean, pieces_of, small_batches, text_bytes
+from depweave.llm.common import Sheltered, lean, materialise, pieces_of, small_batches, text_bytes
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 TRAIN_DOCS = 2000
 ROUNDS = 4
 SMOOTHING = 0.02
+#: The probability of an unknown letter that fitting starts from.
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
-MANY_LANGUAGES = 2000
+#: Labels that are learned at most, those with the most rows: bounds the broadcast model to 8 bytes a piece and language.
+LANGUAGES = 500
 BATCH_BYTES = 1 << 20
-#: Longer words are scored one by one, in steps that can't underflow.
+#: Longer words are scored and fitted in logarithms, which can't underflow.
 LONG_WORD = 32
+#: Letters of long words that are looked up at once.
+LETTERS = 1 << 17
 START = ord("▁")
 
 _rng = np.random.default_rng(7)
@@ -228,35 +233,68 @@ def score_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     return langs, scores
 
 
-def fit(words: list[tuple[str, str, int]], path: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
-    """Expectation-maximisation on (language, word, count)."""
-    languages, table = sorted({x[0] for x in words}), pieces_for(path)
-    number = {x: i for i, x in enumerate(languages)}
-    by_word: dict[str, np.ndarray] = {}
-    for lang, word, n in words:
-        if len(word) <= LONG_WORD:
-            by_word.setdefault(word, np.zeros(len(languages)))[number[lang]] += n
+def long_counts(words: list[str], count: np.ndarray, p: np.ndarray, table: Pieces) -> np.ndarray:
+    """Expected numbers of each piece in words of any length, by forward and backward sums in logarithms; p: one language's."""
+    expected = np.zeros(len(p))
+    longest = table.longest
+    order = sorted(range(len(words)), key=lambda i: (len(words[i]), words[i]))
+    while order:
+        # Words of about one length; behind the shorter ones come marks that are no piece and certain steps.
+        most = max(1, LETTERS // (len(words[order[-1]]) + 1))
+        some, order = order[-most:], order[:-most]
+        n = len(words[some[-1]]) + 1
+        code = np.zeros((len(some), n), dtype=np.int64)
+        for r, i in enumerate(some):
+            code[r, : len(words[i]) + 1] = [START, *map(ord, words[i])]
+        lattice = table.lattice(code)
+        chance = {at: np.where(code[:, at[0]] == 0, 1.0 if at[1] - at[0] == 1 else 0.0, p[ids]) for at, ids in lattice.items()}
+        ahead, back = np.zeros((n + 1, len(some))), np.zeros((n + 1, len(some)))
+        for j in range(1, n + 1):
+            total = sum(np.exp(ahead[i] - ahead[j - 1]) * chance[i, j] for i in range(max(0, j - longest), j) if (i, j) in chance)
+            ahead[j] = ahead[j - 1] + np.log(total)
+        for i in range(n - 1, -1, -1):
+            total = sum(np.exp(back[j] - back[i + 1]) * chance[i, j] for j in range(i + 1, min(n, i + longest) + 1) if (i, j) in chance)
+            back[i] = back[i + 1] + np.log(total)
+        for (i, j), ids in lattice.items():
+            real = code[:, i] != 0
+            part = np.exp(ahead[i] + back[j] - ahead[n]) * chance[i, j] * count[some]
+            expected += np.bincount(ids[real], part[real], minlength=len(p))
+    return expected
+
+
+def fit_one(words: list[str], count: np.ndarray, path: str = VOCABULARY, rounds: int = ROUNDS) -> np.ndarray:
+    """Expectation-maximisation for one language on distinct words: a probability for each piece, 0 for none, and one for an unknown letter."""
+    table = pieces_for(path)
+    size = np.array([len(w) for w in words])
     groups = []
-    for n in sorted({len(w) for w in by_word}):
-        own = [w for w in by_word if len(w) == n]
-        for a in range(0, len(own), 50_000):
-            some = own[a : a + 50_000]
-            code = np.array([[START, *map(ord, w)] for w in some])
-            groups.append((n + 1, table.lattice(code), np.stack([by_word[w] for w in some])))
-    p = np.full((table.n + 2, len(languages)), 1 / table.n)
+    for n in np.unique(size[size <= LONG_WORD]):
+        rows = np.flatnonzero(size == n)
+        for a in range(0, len(rows), 50_000):
+            some = rows[a : a + 50_000]
+            groups.append((int(n) + 1, table.lattice(np.array([[START, *map(ord, words[i])] for i in some])), count[some][:, None]))
+    long = np.flatnonzero(size > LONG_WORD)
+    long_words, long_count = [words[i] for i in long], count[long]
+    p = np.full((table.n + 2, 1), 1 / table.n)
     p[-2], p[-1] = 0, UNKNOWN
     for _ in range(rounds):
-        expected = np.zeros_like(p)
-        for n, lattice, count in groups:
-            alpha, beta = forward(lattice, p, n, len(count)), backward(lattice, p, n, len(count))
-            weight = count / alpha[-1]
+        expected = long_counts(long_words, long_count, p[:, 0], table)
+        for n, lattice, times in groups:
+            alpha, beta = forward(lattice, p, n, len(times)), backward(lattice, p, n, len(times))
+            weight = times / alpha[-1]
             for (i, j), ids in lattice.items():
-                part = alpha[i] * p[ids] * beta[j] * weight
-                for k in range(len(languages)):
-                    expected[:, k] += np.bincount(ids, part[:, k], minlength=len(p))
-        share = expected[:-2] + SMOOTHING
-        p[:-2] = share / share.sum(axis=0)
-    return Model(languages, p, path)
+                expected += np.bincount(ids, (alpha[i] * p[ids] * beta[j] * weight)[:, 0], minlength=len(p))
+        expected += SMOOTHING
+        expected[-2] = 0
+        p[:, 0] = expected / expected.sum()
+    return p[:, 0]
+
+
+def fit(words: list[tuple[str, str, int]], path: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
+    """A model of (language, word, count)."""
+    languages = sorted({x[0] for x in words})
+    own = {lang: sorted((w, n) for x, w, n in words if x == lang) for lang in languages}
+    columns = [fit_one([w for w, _ in own[x]], np.array([n for _, n in own[x]], dtype=float), path, rounds) for x in languages]
+    return Model(languages, np.stack(columns, axis=1), path)
 
 
 def held_out(key: str = "doc_id"):
@@ -264,52 +302,59 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", path: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on a bounded sample of labelled rows: about train_docs whole texts a language."""
-    usable = docs.where(F.col(lang).isNotNull() & ~held_out(key)).select(F.col(lang).cast("string").alias("lang"), key, text)
-    counts = usable.groupBy("lang").count().limit(MANY_LANGUAGES + 1).collect()
-    if len(counts) > MANY_LANGUAGES:
-        raise ValueError(f"more than {MANY_LANGUAGES} languages")
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", path: str = VOCABULARY, train_docs: int = TRAIN_DOCS, languages: int = LANGUAGES) -> Model:
+    """Fit on a bounded sample of labelled rows: about train_docs whole texts of each of the languages with the most rows."""
+    small_batches(docs.sparkSession)
+    own = Sheltered(docs)
+    key, body = own.of(key), own.of(text)
+    usable = own.docs.where(F.col(own.of(lang)).isNotNull() & ~held_out(key)).select(F.col(own.of(lang)).cast("string").alias("lang"), key, body)
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    none = Model([], np.zeros((len(vocabulary(path)) + 2, 0)), path)
     if not counts:
-        return Model([], np.zeros((len(vocabulary(path)) + 2, 0)), path)
+        return none
     chance = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, train_docs / r["count"]))))
     draw = F.pmod(F.xxhash64(F.lit("language sample"), key), F.lit(1 << 40)) / float(1 << 40)
-    sample = usable.where(draw < chance[F.col("lang")]).select("lang", text_bytes(text).alias("__bytes"))
+    sample = usable.where(draw < chance[F.col("lang")]).select("lang", text_bytes(body).alias("bytes"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, "__bytes", BATCH_BYTES):
+            for batch in pieces_of(whole, "bytes", BATCH_BYTES):
                 langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-                texts = [x.as_py().decode("utf-8", "replace") for x in batch.column("__bytes")]
+                texts = [x.as_py().decode("utf-8", "replace") for x in batch.column("bytes")]
                 for one in sorted(set(langs)):
                     code, start, size, _ = split_words([t for t, x in zip(texts, langs, strict=True) if x == one])
-                    start, size = start[size <= LONG_WORD], size[size <= LONG_WORD]
                     if not len(start):
                         continue
                     first, which = distinct_words(code, start, size)
                     words = ["".join(map(chr, code[s : s + n])) for s, n in zip(start[first], size[first], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([one] * len(words)), pa.array(words), pa.array(np.bincount(which), pa.int64())], ["lang", "word", "n"])
 
-    words = sample.mapInArrow(lean(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return fit([tuple(r) for r in words.toLocalIterator()], path)
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("word")  # sums don't depend on the order of rows then
+        p = fit_one(table["word"].to_pylist(), table["n"].to_numpy().astype(float), path)
+        return pa.table({"lang": table["lang"].slice(0, 1), "p": pa.array([p.astype("<f8").tobytes()], pa.binary())})
+
+    words = sample.mapInArrow(lean(split), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    got = sorted(materialise(words, "words").groupBy("lang").applyInArrow(fitted, "lang string, p binary").collect())
+    return Model([r["lang"] for r in got], np.stack([np.frombuffer(r["p"], "<f8") for r in got], axis=1), path) if got else none
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of docs with lang_pred and score."""
     small_batches(docs.sparkSession)
     made = {"lang_pred": T.StringType(), "score": T.DoubleType()}
-    schema = T.StructType([x for x in docs.schema if x.name not in made] + [T.StructField(n, t) for n, t in made.items()])
-    names = [x.name for x in schema]
+    own = Sheltered(docs, made, [text])
+    inner, body = own.inner, own.of(text)
+    schema = T.StructType([own.docs.schema[i] for i in inner] + [T.StructField(n, t) for n, t in made.items()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, "__bytes", BATCH_BYTES):
-                langs, scores = score_texts([x.as_py().decode("utf-8", "replace") for x in batch.column("__bytes")], shared.value)
-                new = {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores)}
-                yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names)
+            for batch in pieces_of(whole, "bytes", BATCH_BYTES):
+                langs, scores = score_texts([x.as_py().decode("utf-8", "replace") for x in batch.column("bytes")], shared.value)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in inner), pa.array(langs, pa.string()), pa.array(scores)], [*inner, *made])
 
-    return docs.withColumn("__bytes", text_bytes(text)).mapInArrow(lean(run), schema)
+    return own.docs.withColumn("bytes", text_bytes(body)).mapInArrow(lean(run), schema).toDF(*own.names, *made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
