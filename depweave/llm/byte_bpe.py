@@ -8,7 +8,8 @@ Texts above ``SAFE_BYTES`` are cut first where the pattern's matches end anyway:
 
 A part that stays above twice that size holds a very long match; ``regex`` splits it by the same pattern and
 each match goes to the merge loop as a single piece, so the library's own engine never sees such a run.
-The ids are those of encoding the text at once. Empty tables give empty tables; extra columns pass through.
+The ids are those of encoding the text at once. Repeated rows get the same ids; empty tables give empty tables; extra columns pass
+through whatever their names, but for those that the result makes anew.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import lean, pieces_of, small_batches, text_bytes
+from depweave.llm.common import Sheltered, lean, pieces_of, small_batches, text_bytes
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SAFE_BYTES = 1 << 16
@@ -72,32 +73,33 @@ def encode_text(enc: tiktoken.Encoding, text: str, most: int = SAFE_BYTES) -> np
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS, keep_text: bool = True) -> DataFrame:
     """All columns of docs (the text only with keep_text), and ``ids`` binary: the token ids as little-endian unsigned 32-bit integers."""
     small_batches(docs.sparkSession)
-    schema = T.StructType([x for x in docs.schema if x.name != ids and (keep_text or x.name != text)] + [T.StructField(ids, T.BinaryType())])
-    names = [x.name for x in schema]
+    own = Sheltered(docs, [ids] if keep_text else [ids, text], [text])
+    inner = own.inner
+    schema = T.StructType([own.docs.schema[i] for i in inner] + [T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks)
         for whole in batches:
-            for batch in pieces_of(whole, "__bytes", BATCH_BYTES):
-                out = [encode_text(enc, x.as_py().decode("utf-8", "replace")).astype("<u4", copy=False).tobytes() for x in batch.column("__bytes")]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if n == ids else batch.column(n) for n in names], names)
+            for batch in pieces_of(whole, "bytes", BATCH_BYTES):
+                out = [encode_text(enc, x.as_py().decode("utf-8", "replace")).astype("<u4", copy=False).tobytes() for x in batch.column("bytes")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in inner), pa.array(out, pa.binary())], [*inner, "ids"])
 
-    own = [c for c in names if c != ids]
-    return docs.select(*own, text_bytes(text).alias("__bytes")).mapInArrow(lean(run), schema)
+    return own.docs.select(*inner, text_bytes(own.of(text)).alias("bytes")).mapInArrow(lean(run), schema).toDF(*own.names, ids)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: str = RANKS) -> DataFrame:
     """All columns, and ``out`` binary: the raw bytes of the ids (null ids: no bytes)."""
-    schema = T.StructType([x for x in encoded.schema if x.name != out] + [T.StructField(out, T.BinaryType())])
-    names = [x.name for x in schema]
+    own = Sheltered(encoded, [out], [ids])
+    inner, at = own.inner, own.of(ids)
+    schema = T.StructType([own.docs.schema[i] for i in inner] + [T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks)
         for batch in batches:
-            texts = [enc.decode_bytes(np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()) for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if n == out else batch.column(n) for n in names], names)
+            texts = [enc.decode_bytes(np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in inner), pa.array(texts, pa.binary())], [*inner, "bytes"])
 
-    return encoded.mapInArrow(lean(run), schema)
+    return own.docs.mapInArrow(lean(run), schema).toDF(*own.names, out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -66,3 +66,12 @@ def test_query(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert B.decode(B.encode(docs)).count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["__bytes", "bytes", "c0", "IDS", "Decoded", "a.b"]
+    rows = [(1, "a b", *names), (1, None, *names)]
+    out = B.decode(B.encode(spark.createDataFrame(rows, ["doc_id", "text", *names])))
+    kept = [n for n in names if n not in ("IDS", "Decoded")]
+    assert out.columns == ["doc_id", "text", *kept, "ids", "decoded"]
+    assert sorted((bytes(r["decoded"]), r["__bytes"], r["bytes"]) for r in out.collect()) == [(b"", "__bytes", "bytes"), (b"a b", "__bytes", "bytes")]
