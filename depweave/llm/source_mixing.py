@@ -7,8 +7,8 @@ number, in whose order each partition is sorted. Running it again gives the same
 
 Means above ``PART`` are cut into equal parts of at most that, each drawn with a hash of its own; a sum of Poisson
 numbers is one of the summed mean. Null is a source like any other, rows with one key (repeated rows, null keys)
-share a draw, sources without a weight in a given mapping get 0, texts are never touched, columns named ``copy`` or
-``mix_key`` are replaced, an empty table gives an empty table.
+share a draw, sources without a weight in a given mapping get 0, texts, long or empty, are never touched, columns named ``copy`` or
+``mix_key`` are replaced and others pass through whatever their names, an empty table gives an empty table.
 
 Rates are one row a source. Up to ``MANY_SOURCES`` of them are broadcast; beyond, they are joined by a shuffle in
 which every source is dealt over ``SALTS`` keys.
@@ -21,6 +21,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depweave.llm.common import Sheltered
+
 PART = 16
 TERMS = 80
 MANY_SOURCES = 10_000
@@ -61,11 +63,13 @@ def poisson_cdf(mean: Column) -> Column:
 def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
     """All columns of docs for each copy, with copy (from 1) and mix_key, globally shuffled."""
     spark = docs.sparkSession
-    table = rates(docs, weights, alpha, epochs, source)
+    own = Sheltered(docs, ["copy", "mix_key"], [source, key])
+    key, source = own.of(key), own.of(source)
+    table = rates(own.docs, weights, alpha, epochs, source)
     few = table.limit(MANY_SOURCES + 1).collect()
     parts = F.greatest(F.ceil(F.col("__rate") / PART), F.lit(1)).cast("int")
     with_cdf = lambda t: t.withColumn("__parts", parts).withColumn("__cdf", poisson_cdf(F.col("__rate") / F.col("__parts")))
-    rows = docs.drop("copy", "mix_key").withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    rows = own.docs.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("null")))
     if len(few) <= MANY_SOURCES:
         known = spark.createDataFrame([(r["source"], r["rate"]) for r in few], "__source string, __rate double")
         joined = rows.join(F.broadcast(with_cdf(known)), F.col(source).cast("string").eqNullSafe(F.col("__source")))
@@ -82,7 +86,7 @@ def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     )
     copies = joined.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     mixed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), "__key", F.col("copy").cast("string"))))
-    return mixed.drop("__source", "__rate", "__parts", "__cdf", "__n", "__key").repartition("mix_key").sortWithinPartitions("mix_key")
+    return mixed.select(*own.inner, "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key").toDF(*own.names, "copy", "mix_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

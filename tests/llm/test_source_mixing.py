@@ -57,3 +57,12 @@ def test_odd_rows(spark):
 
 def test_sql(spark):
     assert held(spark, "/root/testdata/sf0.001", M.query, M.SQL) > 100
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["__source", "__key", "__rate", "__n", "c0", "Copy", "a.b"]
+    docs = spark.createDataFrame([(i, "t", "s", *names) for i in range(30)], ["doc_id", "text", "source", *names])
+    kept = [n for n in names if n != "Copy"]
+    out = M.replicate(docs, epochs=3.0)
+    assert out.columns == ["doc_id", "text", "source", *kept, "copy", "mix_key"] and out.count() > 40
+    assert all(r["__source"] == "__source" and r["__n"] == "__n" for r in out.collect())
