@@ -6,8 +6,11 @@ the tokenizer's version digest (library, its version, the file's bytes) are look
 ``(digest, tokenizer, n_tokens)``; only distinct texts that it lacks are encoded and appended.
 
 Equal texts collapse before and after the shuffle, so a text that a third of all rows share crosses it once a
-task. Null, empty and very long texts, repeated rows and extra columns are all kept: one row out for each in.
-An empty table gives an empty table. Two jobs that append at once may store a digest twice; reading takes one.
+task. Null, empty and very long texts, repeated rows and extra columns of any name are all kept, but for columns ``n_bytes`` and
+``n_tokens``, which the result replaces: one row out for each in. An empty table gives an empty table.
+
+The cache is partitioned by tokenizer and read once a call, only for the digests that are asked about. Two jobs that append at once
+may store a digest twice; reading takes one.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm.common import lean, materialise, pieces_of, scratch_path, small_batches
+from depweave.llm.common import Sheltered, lean, materialise, pieces_of, scratch_path, small_batches
+from depweave.session import exists
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
@@ -101,17 +105,19 @@ def normalised(text: Column, path: str) -> Column:
     return F.replace(text, F.lit(SPACE), F.lit(" ")) if path.endswith(".model") else text
 
 
-def read_cache(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
-    """Stored counts of one tokenizer version, one row for each digest; empty if there is no cache yet."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    stored = spark.read.schema(CACHE).parquet(cache) if there else spark.createDataFrame([], CACHE)
-    return stored.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+def read_cache(spark: SparkSession, cache: str, tokenizer: str, asked: DataFrame | None = None) -> DataFrame:
+    """Stored counts of one tokenizer version, one row for each digest (of those in ``asked``); empty if there is no cache yet."""
+    if not exists(spark, cache):
+        return spark.createDataFrame([], "digest binary, n_tokens long")
+    stored = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer)
+    if asked is not None:
+        stored = stored.join(asked.select("digest"), "digest", "left_semi")
+    return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def encode_misses(keyed: DataFrame, known: DataFrame, path: str, tokenizer: str) -> DataFrame:
-    """Cache rows for the distinct digests that ``known`` lacks; keyed: ``__digest`` and ``__text``."""
-    distinct = keyed.groupBy(F.col("__digest").alias("digest")).agg(F.first("__text").alias("text"))
+    """Cache rows for the distinct digests that ``known`` lacks; keyed: digest and text."""
+    distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(known, "digest", "left_anti").select("digest", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +134,21 @@ def count_tokens(docs: DataFrame, cache: str, path: str = MODEL, text: str = "te
     """All columns of docs but the text, with n_bytes (UTF-8) and n_tokens; fills the cache at once, then joins it."""
     small_batches(docs.sparkSession)
     spark, tokenizer = docs.sparkSession, tokenizer_digest(path)
-    content = normalised(F.col(text), path)
-    digest = F.unhex(F.sha2(content, 256))
-    encode_misses(docs.select(digest.alias("__digest"), content.alias("__text")), read_cache(spark, cache, tokenizer), path, tokenizer).write.mode("append").parquet(cache)
-    # As a table of its own: a join of two plain shuffles lets adaptive execution split the rows of a text that very many share.
-    stored = materialise(read_cache(spark, cache, tokenizer), "stored-counts").select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__n"))
-    others = [F.col(c) for c in docs.columns if c not in (text, "n_bytes", "n_tokens")]
-    sized = docs.select(*others, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("__digest"))
-    return sized.join(stored, "__digest", "left").withColumnRenamed("__n", "n_tokens").drop("__digest")
+    own = Sheltered(docs, [text, "n_bytes", "n_tokens"], [text])
+    body = own.of(text)
+    content = normalised(F.col(body), path)
+    digest = F.unhex(F.sha2(content, 256)).alias("digest")
+    known = read_cache(spark, cache, tokenizer, own.docs.select(digest).distinct())
+    if exists(spark, cache):
+        known = materialise(known, "known-counts")
+    # Tables of their own: a join of two plain shuffles lets adaptive execution split the rows of a text that very many share.
+    new = materialise(encode_misses(own.docs.select(digest, content.alias("text")), known, path, tokenizer), "new-counts")
+    new.write.mode("append").partitionBy("tokenizer").parquet(cache)
+    counted = new.select("digest", "n_tokens")
+    if not known.isEmpty():
+        counted = materialise(counted.unionByName(known), "counts")
+    sized = own.docs.select(*own.inner, F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("n_bytes"), digest)
+    return sized.join(counted, "digest", "left").drop("digest").toDF(*own.names, "n_bytes", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

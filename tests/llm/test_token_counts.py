@@ -31,12 +31,19 @@ def test_cache_hits_misses_and_repeats(spark, tmp_path, path, monkeypatch):
     first = spark.read.parquet(cache).count()
     assert first == (2 if path.endswith(".model") else 3)
     # A second run appends only what is new, and trusts what is stored.
-    spark.createDataFrame([(bytes(32), C.tokenizer_digest(path), 99)], C.CACHE).write.mode("append").parquet(cache)
+    spark.createDataFrame([(bytes(32), C.tokenizer_digest(path), 99)], C.CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache)
     more = spark.createDataFrame([(9, "new words", 0), (1, "a b", 5)], "doc_id long, text string, n_tokens int")
     assert {r.doc_id: r.n_tokens for r in C.count_tokens(more, cache, path).collect()} == {9: C.counter(path).count("new words"), 1: n}
     assert spark.read.parquet(cache).count() == first + 2
 
 
+def test_columns_with_clashing_names(spark, tmp_path):
+    names = ["__digest", "digest", "tokenizer", "__n", "__text", "c0", "N_Tokens", "a.b"]
+    out = C.count_tokens(spark.createDataFrame([(1, "a b", *names), (2, None, *names)], ["doc_id", "text", *names]), str(tmp_path / "cache"))
+    assert out.columns == ["doc_id", *(n for n in names if n != "N_Tokens"), "n_bytes", "n_tokens"]
+    assert all(r["digest"] == "digest" and r["__n"] == "__n" for r in out.collect())
+
+
 def test_query_and_empty_table(spark, tmp_path):
     spark.createDataFrame([(1, "x " * 5000), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in C.query(spark, str(tmp_path)).collect()}
