@@ -4,15 +4,19 @@ A rule (host, path, verdict) fits its host and all subdomains if the url's path
 ``host + path`` wins, ties go to the first in text order. Urls that no rule fits get their host's verdict:
 
 * edges run from a page's host to the hosts its links name (other hosts only, each once);
-* trust starts at hosts by the share of their pages that rules allow and follows links; distrust starts by the share
-  that rules block and follows links backwards: who links to blocked hosts is distrusted. Both are personalised
-  PageRank with restart ``1 - DAMPING``, ``ROUNDS`` rounds;
-* a host is blocked if its distrust is above its trust and at least ``THRESHOLD`` of what a host has of which rules
+* trust is personalised PageRank from hosts by the share of their pages that rules allow, with restart ``1 - DAMPING``;
+* distrust is the same reversed: a host's is the share of its own personalised PageRank that lies on hosts by the share of their
+  pages that rules block. It follows links backwards, and each host takes the mean of those that it links to, so what a linker
+  gets doesn't shrink with the number of others: of a farm that points at one blocked host every member is caught;
+* a host is blocked if its distrust is above its trust and at least ``THRESHOLD`` percent of what a host has of which rules
   block every page.
 
+``ROUNDS`` rounds stand for convergence (0.85**8, a quarter of the mass, is left to longer walks). Seeds aren't normalised to one, and
+trust that reaches a host without links goes no further.
+
 Masses are whole numbers (``UNIT`` a host), so sums don't depend on the order of rows. A null url or one without
 ``://`` has an empty host and path, fits no rule and is allowed; null html has no links; repeated rows are judged
-alike; an empty table gives an empty table; other columns pass through unless named as a result.
+alike, very long html whole; an empty table gives an empty table; other columns pass through, whatever their names, unless named as a result.
 
 Edges are summed before each shuffle, so a hub's in-links arrive as one row a task; joins on a host leave hot hosts to
 be split by adaptive execution. Every fourth round is written to the shared folder.
@@ -25,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm.common import materialise
+from depweave.llm.common import Sheltered, materialise
 
 Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (
@@ -68,12 +72,14 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return pairs.where("src <> dst").distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank in whole numbers. seeds: (host, seed); edges: (src, dst). Gives (host, mass)."""
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, backwards: bool = False) -> DataFrame:
+    """Personalised PageRank in whole numbers, or backwards the share of each host's own that lies on the seeds. seeds: (host, seed); edges: (src, dst). Gives (host, mass)."""
     restart = F.expr(f"seed * {100 - DAMPING} div 100")
     base = seeds.select("host", restart.alias("mass"))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     out = edges.join(degree, "src").select("src", "dst", "deg")
+    if backwards:
+        out = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "deg")
     mass = base
     for k in range(rounds):
         sent = out.join(mass.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.expr(f"mass * {DAMPING} div (100 * deg)")).alias("mass"))
@@ -85,8 +91,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUNDS, threshold: int = THRESHOLD) -> DataFrame:
     """All columns of pages but html, with host, path, rule, verdict."""
-    kept = [c for c in pages.columns if c not in ("html", "host", "path", "rule", "verdict")]
-    parsed = pages.select(*kept, "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    own = Sheltered(pages, ("html", "host", "path", "rule", "verdict"), ("url", "html"))
+    url = F.col(own.of("url"))
+    parsed = own.docs.select(*own.inner, F.col(own.of("html")).alias("html"), host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = parsed.withColumn("__best", best_rule(F.col("host"), F.col("path"), rules))
     hosts = materialise(
         ruled.where("host <> ''")
@@ -97,7 +104,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUNDS,
     edges = materialise(host_edges(parsed), "host-edges")
     there = 0 if edges.isEmpty() else rounds  # without edges every round gives the same masses
     trust = propagate(hosts.select("host", F.expr(f"allowed * {UNIT} div n").alias("seed")), edges, there)
-    distrust = propagate(hosts.select("host", F.expr(f"blocked * {UNIT} div n").alias("seed")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), there)
+    distrust = propagate(hosts.select("host", F.expr(f"blocked * {UNIT} div n").alias("seed")), edges, there, backwards=True)
     scores = trust.select("host", F.col("mass").alias("trust"), F.lit(0).cast("long").alias("distrust")).unionByName(distrust.select("host", F.lit(0).cast("long").alias("trust"), F.col("mass").alias("distrust")))
     bad = (
         scores.groupBy("host")
@@ -106,7 +113,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUNDS,
         .select(F.col("host").alias("__host"), F.lit("block").alias("__verdict"))
     )
     judged = ruled.drop("html").join(bad, F.col("host") == F.col("__host"), "left")
-    return judged.select(*kept, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", "__verdict", F.lit("allow")).alias("verdict"))
+    return judged.select(*own.inner, "host", "path", "__best.rule", F.coalesce("__best.verdict", "__verdict", F.lit("allow"))).toDF(*own.names, "host", "path", "rule", "verdict")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +129,10 @@ def sql(rules: Sequence[Rule] = RULES, rounds: int = ROUNDS, threshold: int = TH
 
     def rank(name: str, seed: str, src: str, dst: str) -> str:
         parts = [f"{name}0 AS (SELECT host, {seed} * {UNIT} // n * {100 - DAMPING} // 100 AS mass FROM hosts)"]
-        parts.append(f"{name}d AS (SELECT {src} AS s, count(*) AS deg FROM edges GROUP BY 1)")
         for k in range(1, rounds + 1):
             parts.append(
                 f"{name}{k} AS MATERIALIZED (SELECT host, sum(mass)::BIGINT AS mass FROM (SELECT * FROM {name}0 UNION ALL "
-                f"SELECT e.{dst}, m.mass * {DAMPING} // (100 * d.deg) FROM edges e JOIN {name}{k - 1} m ON m.host = e.{src} JOIN {name}d d ON d.s = e.{src}) GROUP BY host)"
+                f"SELECT e.{dst}, m.mass * {DAMPING} // (100 * d.deg) FROM edges e JOIN {name}{k - 1} m ON m.host = e.{src} JOIN degrees d ON d.s = e.src) GROUP BY host)"
             )
         return ",\n".join(parts)
 
@@ -142,6 +148,7 @@ ruled AS (SELECT p.*, f.rule, f.v FROM parsed p LEFT JOIN fits f ON f.page_id =
 hosts AS (SELECT host, count(*) AS n, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v = 'block') AS b FROM ruled WHERE host <> '' GROUP BY host),
 edges AS (
   SELECT DISTINCT host AS src, dst FROM (SELECT host, {lower(f"unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1))")} AS dst FROM parsed WHERE host <> '') WHERE host <> dst),
+degrees AS (SELECT src AS s, count(*) AS deg FROM edges GROUP BY 1),
 {rank("t", "a", "src", "dst")},
 {rank("d", "b", "dst", "src")},
 bad AS (

@@ -29,7 +29,7 @@ def test_rules_hosts_and_paths(spark):
     assert got[12][1:3] == ("//en/", None) and got[13][:2] == ("b:", "//c/d") and got[14][:3] == ("É.com", "/en/1", "com/en/")
 
 
-def slow_rank(seed, links, rounds):
+def slow_rank(seed, links, rounds, backwards=False):
     base = {h: s * (100 - U.DAMPING) // 100 for h, s in seed.items()}
     out = {}
     for a, b in links:
@@ -39,8 +39,9 @@ def slow_rank(seed, links, rounds):
         new = dict(base)
         for a, bs in out.items():
             for b in bs:
-                if a in mass:
-                    new[b] = new.get(b, 0) + mass[a] * U.DAMPING // (100 * len(bs))
+                giver, taker = (b, a) if backwards else (a, b)
+                if giver in mass:
+                    new[taker] = new.get(taker, 0) + mass[giver] * U.DAMPING // (100 * len(bs))
         mass = new
     return mass
 
@@ -48,10 +49,19 @@ def slow_rank(seed, links, rounds):
 def test_distrust_runs_backwards_and_trust_forwards(spark):
     link = lambda *hosts: "".join(f"<a HREF = '//{h}/x'>" for h in hosts)
     rows = [("http://bad.com/en/1", None), ("http://farm.io/a", link("BAD.com", "bad.com")), ("http://neutral.io/a", "<a href=/en/>"), ("http://mixed.io/", link("bad.com", "neutral.io", "example.com", "q.io", "r.io", "s.io"))]
-    got = verdicts(U.judge(pages(spark, rows), threshold=20))
-    assert [got[i][3] for i in range(4)] == ["block", "block", "allow", "block"]
+    got = verdicts(U.judge(pages(spark, rows)))
+    assert [got[i][3] for i in range(4)] == ["block", "block", "allow", "allow"]
+    assert verdicts(U.judge(pages(spark, rows), threshold=10))[3][3] == "block"
     rescued = rows + [("http://good.example.com/en/7", link("farm.io"))]
-    assert verdicts(U.judge(pages(spark, rescued), threshold=20))[1][3] == "allow"
+    assert verdicts(U.judge(pages(spark, rescued)))[1][3] == "allow"
+
+
+def test_every_member_of_a_farm_is_caught(spark):
+    """However many hosts point at a blocked one; those that also link elsewhere as much are not."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}">' for h in hosts)
+    rows = [("http://bad.org/es/", None)] + [(f"http://farm{i}.io/", link("bad.org")) for i in range(40)] + [(f"http://second{i}.io/", link(f"farm{i}.io")) for i in range(3)] + [("http://fair.io/", link("bad.org", "a.io"))]
+    got = verdicts(U.judge(pages(spark, rows)))
+    assert [got[i][3] for i in range(len(rows))] == ["block"] * 44 + ["allow"]
 
 
 def test_ranks_and_sql_on_a_random_graph(spark, tmp_path):
@@ -65,9 +75,20 @@ def test_ranks_and_sql_on_a_random_graph(spark, tmp_path):
     seed = {h: 10**9 // (i + 1) for i, h in enumerate(hosts[:9])}
     got = {r.host: r.mass for r in U.propagate(spark.createDataFrame(list(seed.items()), "host string, seed long"), U.host_edges(parsed), 5).collect()}
     assert got == slow_rank(seed, links, 5)
+    got = {r.host: r.mass for r in U.propagate(spark.createDataFrame(list(seed.items()), "host string, seed long"), U.host_edges(parsed), 5, backwards=True).collect()}
+    assert got == slow_rank(seed, links, 5, backwards=True)
     assert held(spark, str(tmp_path), U.query, U.SQL) == 150
 
 
+def test_clashing_names_and_long_html(spark):
+    names = ["__host", "__best", "__verdict", "c0", "n", "Rule", "mass", "a.b"]
+    html = "<p>x</p>" * 200_000 + '<a href="//bad.com">'
+    rows = [(1, "http://bad.com/en/", None, *names), (2, "http://far.io/", html, *names), (2, "http://far.io/", html, *names)]
+    out = U.judge(spark.createDataFrame(rows, ["page_id", "url", "html", *names]))
+    assert out.columns == ["page_id", "url", *(n for n in names if n != "Rule"), "host", "path", "rule", "verdict"]
+    assert all(r["verdict"] == "block" and r["__host"] == "__host" and r["n"] == "n" for r in out.collect())
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, "http://a.com/en/", "x", "y"), (1, "http://a.com/en/", "x", "y")], "page_id long, url string, host string, verdict string").withColumn("html", F.lit(None).cast("string"))
     assert [(r.page_id, r.verdict) for r in U.judge(df).collect()] == [(1, "block")] * 2
