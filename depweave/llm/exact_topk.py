@@ -5,13 +5,14 @@ dimension. A query's scores are accumulated one block of dimensions at a time, t
 after each block candidates stay only if the sum so far and the most the remaining mass can add, |q_rest| * |x_rest| by
 Cauchy-Schwarz, reach the query's k-th best score, and the survivors are compacted. Ties stay in, so results are exact.
 
-Queries go over the candidates in chunks of about ``CHUNK`` that are broadcast (``CHUNK`` vectors at most twice over), one scan each; a
-task keeps k rows a query, and k rows a query and task are ranked in the end.
+Queries go over the candidates in chunks of about ``CHUNK`` bytes, one scan each: a chunk is collected, broadcast, its k best written to
+the shared folder and the broadcast destroyed before the next is collected, so the driver holds one chunk however many queries there
+are. A task keeps k rows a query of its chunk.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; only vectors of one length
 meet. Ids should be unique; of several vectors with one id the least in array order counts, or with ``repeats``, as in the query,
 every one: each is a candidate of its own, and the pairs of all vectors of a query's id are ranked together. Fewer candidates than k give
-fewer rows. An empty table gives an empty table; other columns are not looked at.
+fewer rows. An empty table gives an empty table; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from depweave.llm.common import lean, materialise
+from depweave.llm.common import lean, materialise, scratch_path
 
 K = 5
 SCALE = 256
 BLOCK = 16
-CHUNK = 20_000
+#: Bytes of a chunk's queries as doubles.
+CHUNK = 32 << 20
 EVERY = 50
 RESULT = "query_id long, vec_id long, score long"
 
@@ -124,18 +128,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id",
     """query_id, rank, vec_id, score. is_query: a condition on column ``id``."""
     spark = vectors.sparkSession
     rows = _plain(vectors, key, vector, repeats)
-    place = F.xxhash64(*(c for c in rows.columns if c != "x"))
     queries = rows.where(is_query)
-    chunks = max(1, -(-queries.count() // chunk))
-    found = []
-    for c in range(chunks):
-        got = queries.where(F.pmod(place, F.lit(chunks)) == c).limit(2 * chunk + 1).toArrow()
-        if got.num_rows > 2 * chunk:
-            raise ValueError("ids hash unevenly")
+    n, longest = queries.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    chunks = max(1, -(-n * 8 * (longest or 1) // chunk))
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    if chunks > 1:
+        path = scratch_path(spark, "queries")
+        place = F.pmod(F.xxhash64(*(c for c in rows.columns if c != "x")), F.lit(chunks)).alias("chunk")
+        queries.select("id", "x", place).repartition("chunk").write.partitionBy("chunk").parquet(path)
+        queries = spark.read.schema(T.StructType([queries.schema["id"], queries.schema["x"], T.StructField("chunk", T.LongType())])).parquet(path)
+
+    def searched(got: pa.Table) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast([(got["id"].to_numpy()[r], np.floor(SCALE * m), r) for b in got.combine_chunks().to_batches() for r, m in by_length(b, "x")])
         total = got.num_rows
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, total=total) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best, names = Best(total, k), np.zeros(total, np.int64)
             groups = {m.shape[1]: (ids, m, r) for ids, m, r in shared.value}
             for ids, _, r in shared.value:
@@ -149,12 +156,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id",
             if sizes.sum():
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.score))], ["query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(lean(run), RESULT))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return rows.mapInArrow(lean(run), RESULT), shared
+
+    if chunks == 1:
+        every = searched(queries.select("id", "x").toArrow())[0]
+    else:
+        every = spark.createDataFrame([], RESULT)
+        for c in range(chunks):
+            found, shared = searched(queries.where(F.col("chunk") == c).select("id", "x").toArrow())
+            every = every.unionByName(materialise(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "best"))
+            shared.destroy()
+    # Vectors of one id may be in several chunks.
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
