@@ -2,6 +2,7 @@
 
 * ``calls``: conv_id, call_id, turn, name, arguments (JSON text), depends_on (array of call ids, may be null).
 * ``results``: conv_id, call_id, turn, content.
+* ``others``: conv_id, turn, role, content: messages that are neither; may be left out.
 * ``schemas``: tool name to {argument: {"type", "required", "min_length", "max_length", "minimum", "maximum", "enum"}}.
 
 Calls meet results by a hash join on (conv_id, call_id). Repeated calls of one identifier count once, the earliest
@@ -9,15 +10,17 @@ wins (least turn, then name, then arguments); of several results the earliest is
 With ``repeats`` nothing is collapsed: a row comes out for each pair of a call and a result of one identifier, with ``n_results`` 1 or 0,
 so that every text is in the output; m repeated calls with n results give m * n rows. Order then is that of the earliest call.
 Otherwise one row comes out for each identifier, and for each row without one; status is ``linked``, ``missing`` (no result),
-``orphan`` (result without call) or ``unidentified``.
+``orphan`` (result without call) or ``unidentified``; every other message is a valid row of status ``other``.
 
 Topological order: (order_turn, order_hop) rises from each call to those that depend on it and starts at the call's own turn, so
-conversations whose calls only look back need no further round; a call in or behind a cycle has a null order
-and the error ``cycle``. Null turns count as turn 0.
+conversations whose calls only look back are done at once. From the others calls without open dependencies are peeled off round by round,
+and only what is left goes on; what no longer shrinks is in or behind a cycle, has a null order and the error ``cycle``. So rounds
+are as many as the longest chain of calls in a conversation that looks forward; cycles add none. Null turns count as turn 0.
 
 Arguments are parsed as JSON; errors are sorted and joined by ``;``. The canonical JSON has sorted keys, no spaces and
 the arguments as parsed. Null and empty arguments or contents are kept (null arguments are invalid). Rows are never
-gathered by conversation, so a conversation with a third of all turns is dealt like any other.
+gathered by conversation, so a conversation with a third of all turns is dealt like any other. Very long contents are written whole;
+empty tables give an empty table; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -82,26 +85,30 @@ def topological(calls: DataFrame) -> DataFrame:
     edges = wanted.join(known, ["conv_id", "dep"], "left")
     lost = edges.groupBy(*ID).agg(F.bool_or(F.col("__known").isNull()).alias("lost"))
     edges = edges.where("__known").select("conv_id", "call_id", "dep")
-    sizes = None
-    round_ = 0
-    while True:
-        before = nodes.select("conv_id", F.col("call_id").alias("dep"), F.struct("order_turn", "order_hop").alias("__at"))
-        at_least = edges.join(before, ["conv_id", "dep"]).groupBy(*ID).agg(F.max("__at").alias("__dep"))
-        stepped = nodes.join(at_least, ID, "left")
-        late = F.col("__dep").isNotNull() & (F.struct("order_turn", "order_hop") <= F.col("__dep")) & F.col("order_turn").isNotNull()
-        late = late | (F.col("order_turn").isNotNull() & F.col("__dep.order_turn").isNull() & F.col("__dep").isNotNull())
-        if stepped.where(late).isEmpty():
-            break
-        round_ += 1
-        if sizes is None:
-            edges = materialise(edges, "call-edges")
-            sizes = materialise(nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("__size")), "call-counts")
-        hop = F.when(late, F.col("__dep.order_hop") + 1).otherwise(F.col("order_hop"))
-        turn = F.when(late, F.col("__dep.order_turn")).otherwise(F.col("order_turn"))
-        moved = stepped.select(*ID, turn.alias("order_turn"), hop.alias("order_hop")).join(sizes, "conv_id")
-        # More hops than calls: only a cycle takes so many.
-        endless = F.col("order_hop") > F.col("__size")
-        nodes = materialise(moved.select(*ID, F.when(~endless, F.col("order_turn")).alias("order_turn"), F.when(~endless, F.col("order_hop")).alias("order_hop")), "call-order")
+    turn = F.coalesce("turn", F.lit(0)).cast("long")
+    before = calls.select("conv_id", F.col("call_id").alias("dep"), turn.alias("dep_turn"))
+    forward = edges.join(calls.select(*ID, turn.alias("own_turn")), ID).join(before, ["conv_id", "dep"]).where("dep_turn >= own_turn").select("conv_id").distinct()
+    forward = materialise(forward, "looks-forward")
+    if not forward.isEmpty():
+        edges = materialise(edges.join(forward, "conv_id", "left_semi"), "call-edges")
+        counted = edges.groupBy(*ID).agg(F.count(F.lit(1)).alias("n_open"))
+        rest = nodes.join(forward, "conv_id", "left_semi").join(counted, ID, "left")
+        rest = materialise(rest.select(*ID, F.col("order_turn").alias("turn"), F.coalesce("n_open", F.lit(0)).alias("n_open"), F.lit(None).cast("struct<turn:bigint,hop:bigint>").alias("after")), "open-calls")
+        done = nodes.join(forward, "conv_id", "left_anti")
+        while True:
+            late = F.coalesce(F.col("after.turn") >= F.col("turn"), F.lit(False))
+            ready = rest.where("n_open = 0").select(*ID, F.when(late, F.col("after.turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(late, F.col("after.hop") + 1).otherwise(0).cast("long").alias("order_hop"))
+            ready = materialise(ready, "ready-calls")
+            if ready.isEmpty():
+                break
+            done = done.unionByName(ready)
+            named = ready.select("conv_id", F.col("call_id").alias("dep"), F.struct(F.col("order_turn").alias("turn"), F.col("order_hop").alias("hop")).alias("at"))
+            met = edges.join(named, ["conv_id", "dep"]).groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
+            edges = materialise(edges.join(named, ["conv_id", "dep"], "left_anti"), "call-edges")
+            left = rest.where("n_open > 0").join(met, ID, "left")
+            rest = materialise(left.select(*ID, "turn", (F.col("n_open") - F.coalesce("n", F.lit(0))).alias("n_open"), F.greatest("after", "at").alias("after")), "open-calls")
+        nothing = F.lit(None).cast("long")
+        nodes = done.unionByName(rest.select(*ID, nothing.alias("order_turn"), nothing.alias("order_hop")))
     return nodes.join(lost, ID, "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
 
 
@@ -111,7 +118,7 @@ def _json(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(F.substring(boxed, F.lit(6), F.length(boxed) - 6))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Schemas = SCHEMAS, repeats: bool = False) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: Schemas = SCHEMAS, repeats: bool = False, others: DataFrame | None = None) -> DataFrame:
     """conv_id, call_id, turn, name, status, n_results, valid, errors, order_turn, order_hop, json."""
     has_id = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first = F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("__c")
@@ -136,7 +143,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas = SCHEMAS, repea
     valid = F.size("__errors") == 0
     call_json = F.when(is_call, F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(parsed), _json(F.col("arguments"))), F.lit(',"id":'), _json(F.col("call_id")), F.lit(',"name":'), _json(F.col("name")), F.lit("}"))).otherwise("null")
     result_json = F.when(F.col("__r").isNull(), "null").otherwise(F.concat(F.lit('{"content":'), _json(F.col("__r.content")), F.lit(',"id":'), _json(F.col("call_id")), F.lit("}")))
-    return both.withColumn("__errors", F.array_sort(listed)).select(
+    linked = both.withColumn("__errors", F.array_sort(listed)).select(
         "conv_id",
         "call_id",
         F.coalesce("turn", "__r.turn").alias("turn"),
@@ -149,48 +156,81 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas = SCHEMAS, repea
         F.col("__hop").alias("order_hop"),
         F.concat(F.lit('{"call":'), call_json, F.lit(',"result":'), result_json, F.lit(',"valid":'), valid.cast("string"), F.lit("}")).alias("json"),
     )
-
-
-def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain chats as calls and results: a user turn calls ``reply`` and depends on the user turn two before it, an assistant turn is the result of the turn before it."""
+    if others is None:
+        return linked
+    message = F.concat(F.lit('{"content":'), _json(F.col("content")), F.lit(',"role":'), _json(F.col("role")), F.lit("}"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = others.select(
+        "conv_id", none("string").alias("call_id"), "turn", none("string").alias("name"), F.lit("other").alias("status"), F.lit(0).cast("long").alias("n_results"), F.lit(True).alias("valid"),
+        F.lit("").alias("errors"), none("long").alias("order_turn"), none("long").alias("order_hop"), F.concat(F.lit('{"message":'), message, F.lit(',"valid":true}')).alias("json"),
+    )
+    return linked.unionByName(rows)
+
+
+def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plain chats as calls, results and other messages: a user turn calls ``reply``, an assistant turn is the result of the turn before it.
+
+    Plain chats name no dependencies, so they are made from numbers: turn t depends on t - 2, but of four pairs of turns the second
+    looks forward to t + 2 in conversations of even number, and the third back to t - 4 unless that number is divisible by three:
+    then the two close a cycle.
+    """
     name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
+    t = F.col("turn")
+    pair, conv = F.expr("turn div 2 % 4"), F.col("conv_id")
+    depends = F.when((pair == 1) & (conv % 2 == 0), F.array(name(t + 2))).when((pair == 2) & (conv % 3 != 0), F.array(name(t - 4)))
     calls = turns.where("role = 'user'").select(
         "conv_id",
-        F.when(F.col("turn").isNotNull(), name(F.col("turn"))).alias("call_id"),
+        F.when(t.isNotNull(), name(t)).alias("call_id"),
         "turn",
         F.lit("reply").alias("name"),
         arguments.alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).alias("depends_on"),
+        F.coalesce(depends, F.when(t >= 2, F.array(name(t - 2)))).alias("depends_on"),
     )
-    results = turns.where("role = 'assistant'").select("conv_id", F.when(F.col("turn").isNotNull(), name(F.col("turn") - 1)).alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    results = turns.where("role = 'assistant'").select("conv_id", F.when(t.isNotNull(), name(t - 1)).alias("call_id"), "turn", F.col("text").alias("content"))
+    others = turns.where("role IS NULL OR role NOT IN ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return calls, results, others
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: every user and assistant turn of the conversations as linked calls, repeated ones too; turns of other roles, or none, give no row, as in the SQL."""
-    return link(*from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")), repeats=True)
+    """op5: every turn of the conversations, user and assistant turns as linked calls, repeated ones too."""
+    calls, results, others = from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    return link(calls, results, repeats=True, others=others)
 
 
 SQL = """
-WITH calls AS (
-  SELECT conv_id, turn, conv_id || '-' || turn AS call_id, conv_id || '-' || (turn - 2) AS dep, text FROM conversations WHERE role = 'user'),
+WITH RECURSIVE calls AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text FROM conversations WHERE role = 'user'),
+wanted AS (
+  SELECT conv_id, turn, unnest(CASE WHEN turn // 2 % 4 = 1 AND conv_id % 2 = 0 THEN [turn + 2] WHEN turn // 2 % 4 = 2 AND conv_id % 3 <> 0 THEN [turn - 4]
+    WHEN turn >= 2 THEN [turn - 2] ELSE [] END) AS dep FROM (SELECT DISTINCT conv_id, turn FROM calls)),
+edges AS (SELECT * FROM wanted w WHERE EXISTS (SELECT 1 FROM calls d WHERE d.conv_id = w.conv_id AND d.turn = w.dep)),
+lost AS (SELECT DISTINCT conv_id, turn FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM calls d WHERE d.conv_id = w.conv_id AND d.turn = w.dep)),
+reach(conv_id, turn, dep) AS (SELECT conv_id, turn, dep FROM edges UNION SELECT r.conv_id, r.turn, e.dep FROM reach r JOIN edges e ON e.conv_id = r.conv_id AND e.turn = r.dep),
+loops AS (SELECT conv_id, turn FROM reach WHERE turn = dep),
+stuck AS (SELECT conv_id, turn FROM loops UNION SELECT r.conv_id, r.turn FROM reach r JOIN loops l ON l.conv_id = r.conv_id AND l.turn = r.dep),
+paths(conv_id, turn, here, hops) AS (
+  SELECT conv_id, turn, turn, 0::BIGINT FROM (SELECT DISTINCT conv_id, turn FROM calls) c WHERE NOT EXISTS (SELECT 1 FROM stuck s WHERE s.conv_id = c.conv_id AND s.turn = c.turn)
+  UNION SELECT p.conv_id, p.turn, e.dep, p.hops + 1 FROM paths p JOIN edges e ON e.conv_id = p.conv_id AND e.turn = p.here),
+placed AS (SELECT conv_id, turn, max(struct_pack(a := here, h := hops)) AS place FROM paths GROUP BY conv_id, turn),
 results AS (SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
 marked AS (
-  SELECT c.*, CASE WHEN turn >= 2 AND NOT EXISTS (SELECT 1 FROM calls d WHERE d.call_id = c.dep AND d.conv_id = c.conv_id) THEN 'dependency: unknown' END AS e1,
+  SELECT c.*, p.place, CASE WHEN p.place IS NULL THEN 'cycle' END AS e0, CASE WHEN l.turn IS NOT NULL THEN 'dependency: unknown' END AS e1,
          CASE WHEN text IS NULL THEN 'prompt: missing' WHEN length(text) < 1 THEN 'prompt: too short' WHEN length(text) > 1000 THEN 'prompt: too long' END AS e2
-  FROM calls c),
+  FROM calls c LEFT JOIN placed p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN lost l ON l.conv_id = c.conv_id AND l.turn = c.turn),
 both_sides AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn,
-         c.turn AS order_turn, c.call_id AS cid, r.call_id AS rid, c.text AS ct, r.text AS rt, c.turn AS cturn,
-         CASE WHEN c.call_id IS NULL THEN 'no call' ELSE concat_ws(';', e1, e2) END AS errors
+         c.place.a AS order_turn, c.place.h AS order_hop, c.call_id AS cid, r.call_id AS rid, c.text AS ct, r.text AS rt, c.turn AS cturn,
+         CASE WHEN c.call_id IS NULL THEN 'no call' ELSE concat_ws(';', e0, e1, e2) END AS errors
   FROM marked c FULL JOIN results r ON c.call_id = r.call_id AND c.conv_id = r.conv_id)
 SELECT conv_id, call_id, turn, CASE WHEN cid IS NOT NULL THEN 'reply' END AS name,
   CASE WHEN cid IS NULL THEN 'orphan' WHEN rid IS NULL THEN 'missing' ELSE 'linked' END AS status,
-  (rid IS NOT NULL)::BIGINT AS n_results, errors = '' AS valid, errors, order_turn,
-  CASE WHEN cid IS NOT NULL THEN 0::BIGINT END AS order_hop,
+  (rid IS NOT NULL)::BIGINT AS n_results, errors = '' AS valid, errors, order_turn, order_hop,
   '{"call":' || CASE WHEN cid IS NULL THEN 'null' ELSE '{"arguments":{' || coalesce('"prompt":' || to_json(ct)::VARCHAR || ',', '') || '"turn":' || cturn || '},"id":' || to_json(call_id)::VARCHAR || ',"name":"reply"}' END
   || ',"result":' || CASE WHEN rid IS NULL THEN 'null' ELSE '{"content":' || coalesce(to_json(rt)::VARCHAR, 'null') || ',"id":' || to_json(call_id)::VARCHAR || '}' END
   || ',"valid":' || CASE WHEN errors = '' THEN 'true' ELSE 'false' END || '}' AS json
 FROM both_sides
+UNION ALL
+SELECT conv_id, NULL, turn, NULL, 'other', 0, true, '', NULL, NULL,
+  '{"message":{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '},"valid":true}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """

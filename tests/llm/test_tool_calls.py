@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from depweave.llm import tool_calls as C
 from tests.compare import held
@@ -69,10 +70,40 @@ def test_topological_order(spark):
     assert all(order[k] == (None, None) and "cycle" in got[k].errors for k in [(2, "p"), (2, "q"), (2, "r"), (3, "self")]) and order[2, "s"] == (0, 0)
 
 
+def test_cycles_take_no_rounds_of_their_own(spark, monkeypatch):
+    """A cycle of 200 calls, a call behind it, one whose dependency is null in a cycle, and calls before it."""
+    rounds = []
+    write = C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, name: (rounds.append(name), write(df, name))[1])
+    calls = [call(f"c{i}", deps=[f"c{(i + 1) % 200}", None, "start"], turn=i) for i in range(200)] + [call("start", turn=300), call("behind", deps=["c7"], turn=400), call("end", deps=["start"], turn=1)]
+    got = run(spark, calls)
+    assert rounds.count("ready-calls") <= 4
+    assert all(("cycle" in got[1, c[1]].errors) == (c[1] not in ("start", "end")) for c in calls)
+    assert (got[1, "end"].order_turn, got[1, "end"].order_hop) == (300, 1)
+
+
+def test_forward_references_and_cycles_against_sql(spark, tmp_path):
+    rows = [(c, t, ["system", "user", "assistant", "user"][(t + c) % 4], f"{c}.{t}") for c in range(12) for t in range(3 * c) if (t * c) % 7 != 6]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert held(spark, str(tmp_path), C.query, C.SQL) > 100
+    got = C.query(spark, str(tmp_path)).collect()
+    assert max(r.order_hop or 0 for r in got) > 0 and any("cycle" in r.errors for r in got)
+
+
+def test_extra_columns_and_long_contents(spark):
+    calls = spark.createDataFrame([call("c", '{"a":"' + "x" * 300_000 + '"}')], CALLS)
+    results = spark.createDataFrame([(1, "c", 5, "y" * 300_000)], RESULTS)
+    odd = {n: F.lit(n) for n in ("__call", "__r", "__turn", "lost", "n_results", "order_turn", "__errors")}
+    r = C.link(calls.withColumns(odd), results.withColumns(odd), SCHEMAS).first()
+    assert r.status == "linked" and r.valid and len(r.json) > 600_000
+
+
 def test_query_against_sql_and_empty_table(spark, tmp_path):
     rows = [(1, 0, "system", "s"), (1, 1, "user", 'q "x"\t'), (1, 2, "assistant", None), (1, 3, "user", None), (2, 0, "assistant", "a"), (2, 1, "user", "x" * 1001), (2, 3, "user", ""), (3, 0, None, "t")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    assert held(spark, str(tmp_path), C.query, C.SQL) == 5
+    assert held(spark, str(tmp_path), C.query, C.SQL) == 7
+    got = [r for r in C.query(spark, str(tmp_path)).collect() if r.status == "other"]
+    assert sorted(r.json for r in got) == ['{"message":{"content":"s","role":"system"},"valid":true}', '{"message":{"content":"t","role":null},"valid":true}']
     assert C.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)).count() == 0
 
 
