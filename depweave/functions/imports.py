@@ -3,7 +3,7 @@
 Every import statement gives its target; a from-import also target.name for each name (``*`` included); relative
 ones drop trailing segments of the importer's name, in which a package's ``__init__`` counts as one. Functions,
 classes and branches are searched too. An ``if`` whose condition is ``TYPE_CHECKING`` or ``typing.TYPE_CHECKING`` is skipped
-whole, its else as well, unless asked for. Calls of ``__import__`` or ``import_module`` with one string give that string,
+whole, its ``elif`` and ``else`` as well, unless asked for; only the first condition counts, an ``elif`` is part of its ``if``. Calls of ``__import__`` or ``import_module`` with one string give that string,
 and the name ``__import__`` gives itself.
 """
 
@@ -54,7 +54,19 @@ class _Finder(ast.NodeVisitor):
 
     def visit_If(self, node: ast.If) -> None:
         if self.typechecking or _dotted(node.test) not in ("TYPE_CHECKING", "typing.TYPE_CHECKING"):
-            self.generic_visit(node)
+            self._branches(node)
+
+    def _branches(self, node: ast.If) -> None:
+        while True:
+            for part in (node.test, *node.body):
+                self.visit(part)
+            # An elif is a lone If where the else would be, in the column of its if; a nested one lies further in.
+            last = node.orelse[0] if len(node.orelse) == 1 else None
+            if not isinstance(last, ast.If) or last.col_offset != node.col_offset:
+                break
+            node = last
+        for part in node.orelse:
+            self.visit(part)
 
     def visit_Call(self, node: ast.Call) -> None:
         literal = len(node.args) == 1 and not node.keywords and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str)

@@ -64,12 +64,41 @@ def trim(edges: DataFrame, most: int = 50) -> DataFrame:
     return now
 
 
+def _least_before(edges: DataFrame) -> DataFrame:
+    """(node, color) of every node with an edge: the least node that reaches it, itself included."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    now = new = materialise(nodes.withColumn("color", F.col("node")), "colors")
+    while not new.isEmpty():
+        sent = edges.join(new.select(F.col("node").alias("src"), "color"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("__sent"))
+        stepped = materialise(now.join(sent, "node", "left").withColumn("__new", F.coalesce(F.col("__sent") < F.col("color"), F.lit(False))), "colors")
+        now = stepped.select("node", F.when(F.col("__new"), F.col("__sent")).otherwise(F.col("color")).alias("color"))
+        new = now.join(stepped.where("__new").select("node"), "node", "left_semi")
+    return now
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node (column ``node``): comp is the least node of its strongly connected component."""
-    reach = materialise(transitive_closure(trim(edges)), "reach")
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    least = reach.join(back, ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("__least"))
-    return nodes.select("node").distinct().join(least.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("node", F.coalesce("__least", "node")).alias("comp"))
+    """(node, comp) for every node (column ``node``): comp is the least node of its strongly connected component.
+
+    By colours: each node takes the least node that reaches it; those of a colour that also reach the node it is named after are
+    that node's component. They go, and so do edges between colours; the rest is coloured again. Rows are as many as nodes
+    and edges, never pairs of nodes; rounds are as many as a component's longest shortest path, for each layer of colours.
+    """
+    left = trim(edges)
+    found = None
+    while not left.isEmpty():
+        colors = _least_before(left)
+        of = lambda end: colors.select(F.col("node").alias(end), F.col("color").alias(f"{end}_color"))
+        within = materialise(left.join(of("src"), "src").join(of("dst"), "dst").where("src_color = dst_color").select("src", "dst", F.col("src_color").alias("color")), "colored")
+        own = materialise(reachable(within, colors.where("node = color").select("node"), backwards=True).join(colors, "node"), "components")
+        own = own.select("node", F.col("color").alias("comp"))
+        found = own if found is None else found.unionByName(own)
+        gone = own.select("node")
+        rest = within.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = trim(rest.select("src", "dst"))
+    every = nodes.select("node").distinct()
+    if found is None:
+        return every.withColumn("comp", F.col("node"))
+    return every.join(found.withColumnRenamed("comp", "__comp"), "node", "left").select("node", F.coalesce("__comp", "node").alias("comp"))
 
 
 def cycle_members(reach: DataFrame) -> DataFrame:

@@ -1,10 +1,8 @@
 """Registered queries: the graph operators over graphs that the driver's tables hold.
 
 G_fk, acyclic: order -> customer -> nation <- supplier, nation -> region. G_ev, cyclic: consecutive events of a user.
-T_url: page urls as paths of segments. L_href: links in pages.
-
-G_ev of closure_ev, cycle_members, scc_components and trace_missing holds every seventh event (condensed_edges: every
-61st) and folds users to 40, as their SQL does; the queries of the same names with ``_whole`` take every event and user.
+T_url: page urls as paths of segments. L_href: links in pages. F_web: pages as a source tree, web/<language>/<number>.py, in which
+the languages of ``PACKAGES`` are packages, and links as imports. All take their tables whole.
 """
 
 from __future__ import annotations
@@ -16,13 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depweave.functions import paths
-from depweave.operators import closure, prefix, queries, resolve, select, trace
+from depweave.operators import closure, edits, prefix, queries, resolve, select, trace
 from depweave.schema import violations
 from depweave.session import materialise
 from depweave.sources import vcs
 
 REGION = "r0"
 IMPACT_ITEMS = 25
+PACKAGES = ("de", "fr")
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,15 +40,7 @@ def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def event_edges(spark: SparkSession, sf_dir: str, every: int = 7) -> DataFrame:
-    node = F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string"), F.col("event_type"))
-    nxt = F.lead(node).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    steps = _t(spark, sf_dir, "events").where(F.col("event_id") % every == 0).select(node.alias("src"), nxt.alias("dst"))
-    return steps.where("dst IS NOT NULL")
-
-
-def all_event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G_ev of every event, with a node for each user and type."""
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.col("event_type"))
     nxt = F.lead(node).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     return _t(spark, sf_dir, "events").select(node.alias("src"), nxt.alias("dst")).where("dst IS NOT NULL")
@@ -82,62 +73,92 @@ def affected_region(spark, sf_dir):
     return hit.where(F.col("node").startswith("o")).select(F.expr("substring(node, 2)").cast("long").alias("o_orderkey"))
 
 
-def depends_order(spark, sf_dir):
-    """What every hundredth order reaches."""
-    seeds = _t(spark, sf_dir, "orders").where("o_orderkey % 100 = 1").select(_key("o", "o_orderkey").alias("node"))
-    return closure.transitive_closure(fk_edges(spark, sf_dir), seeds)
-
-
-def depends_order_whole(spark, sf_dir):
+def order_reach(spark, sf_dir):
     """What every order reaches."""
     seeds = _t(spark, sf_dir, "orders").select(_key("o", "o_orderkey").alias("node"))
     return closure.transitive_closure(fk_edges(spark, sf_dir), seeds)
 
 
-def affected_suppliers(spark, sf_dir):
-    """Suppliers that reach a region, by the operator over modules: suppliers are files, nodes between have none."""
+def _fk_modules(spark, sf_dir):
+    """Nodes of G_fk as modules: customers are local files of their segment, suppliers global files, others have none."""
     edges = fk_edges(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    modules = nodes.select("node", F.when(F.col("node").startswith("s"), F.col("node")).alias("fs"), F.col("node").alias("py"), F.lit(None).cast("string").alias("pkg"))
-    reach = closure.transitive_closure(edges.where(~F.col("src").startswith("o")))
-    return queries.affected_files(reach, modules, queries.nodes_of_modules(modules, [REGION]))
+    segment = _t(spark, sf_dir, "customer").select(_key("c", "c_custkey").alias("node"), F.col("c_mktsegment").alias("pkg"))
+    fs = F.when(F.col("node").rlike("^[cs]"), F.col("node"))
+    return nodes.join(segment, "node", "left").select("node", fs.alias("fs"), F.col("node").alias("py"), "pkg")
+
+
+def _place_edges(spark, sf_dir):
+    return fk_edges(spark, sf_dir).where(~F.col("src").startswith("o"))
+
+
+def depends_order(spark, sf_dir):
+    """All modules that any order reaches."""
+    modules = _fk_modules(spark, sf_dir)
+    return queries.depends_on(order_reach(spark, sf_dir), modules, modules.where("node LIKE 'o%'").select("node"))
+
+
+def affected_suppliers(spark, sf_dir):
+    """Global files that reach a region: suppliers."""
+    modules = _fk_modules(spark, sf_dir).where("pkg IS NULL")
+    return queries.affected_files(closure.transitive_closure(_place_edges(spark, sf_dir)), modules, queries.nodes_of_modules(modules, [REGION]))
 
 
 def local_affected_by_segment(spark, sf_dir):
-    hit = affected_region(spark, sf_dir)
-    own = _t(spark, sf_dir, "orders").join(hit, "o_orderkey", "left_semi").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return own.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_orderkey").alias("sum_keys"))
+    """Customers of each segment that reach a region."""
+    modules = _fk_modules(spark, sf_dir)
+    found = queries.local_affected(closure.transitive_closure(_place_edges(spark, sf_dir)), modules, queries.nodes_of_modules(modules, [REGION]))
+    return found.select("pkg", F.size("affected").alias("n"), F.array_join("affected", ",").alias("affected"))
 
 
-def cycle_members(spark, sf_dir):
-    return closure.cycle_members(closure_ev(spark, sf_dir))
+def dynamic_edges_fk(spark, sf_dir):
+    """Suppliers trigger a nation each by its name, its parent's or all nations; customers a name that no module has, or a place that is no nation."""
+    names = F.when(F.col("node").startswith("n"), F.concat(F.lit("geo.land."), "node")).otherwise(F.col("py"))
+    modules = _fk_modules(spark, sf_dir).where("NOT (node LIKE 'o%')").withColumn("py", names)
+    nation = F.concat(F.lit("geo.land.n"), F.col("s_nationkey").cast("string"))
+    dep = F.when(F.col("s_suppkey") % 10 == 0, "geo.land.*").when(F.col("s_suppkey") % 2 == 0, nation).otherwise(F.concat(nation, F.lit(".attr")))
+    given = _t(spark, sf_dir, "supplier").select(_key("s", "s_suppkey").alias("trigger"), dep.alias("dep"))
+    lost = _t(spark, sf_dir, "customer").select(_key("c", "c_custkey").alias("trigger"), F.lit("geo.sea.n1").alias("dep"))
+    return edits.dynamic_edges(modules, given.unionByName(lost))
 
 
-def scc_components(spark, sf_dir):
-    edges = event_edges(spark, sf_dir)
-    return closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
+def leaf_edges_fk(spark, sf_dir):
+    """Customers of two segments that reach a region also depend on nations of others."""
+    return edits.leaf_edges(materialise(closure.transitive_closure(_place_edges(spark, sf_dir)), "reach"), _fk_modules(spark, sf_dir).where("NOT (node LIKE 'o%')"), [(REGION, {"BUILDING": ["n1"], "MACHINERY": ["n2.x", "none"]})])
 
 
-def condensed_edges(spark, sf_dir):
-    edges = materialise(event_edges(spark, sf_dir, 61), "events")
-    return closure.condense(edges, closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges))
+def dynamic_exposure_fk(spark, sf_dir):
+    """Orders as files, every second a test; customers in debt import dynamically."""
+    orders = _t(spark, sf_dir, "orders").select(_key("o", "o_orderkey").alias("node"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "tests/test_").otherwise("src/"), _key("o", "o_orderkey"), F.lit(".py")).alias("fs"))
+    debt = _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(_key("c", "c_custkey").alias("src"), F.when(F.col("c_custkey") % 2 == 0, "importlib").otherwise("__import__").alias("dst"))
+    reach = closure.transitive_closure(fk_edges(spark, sf_dir).where("src LIKE 'o%'").unionByName(debt))
+    modules = orders.select("node", "fs", F.col("node").alias("py"), F.lit(None).cast("string").alias("pkg"))
+    machinery = spark.createDataFrame([(n, None, n, None) for n in ("importlib", "__import__")], modules.schema)
+    return queries.dynamic_exposure(reach, modules.unionByName(machinery))
 
 
-def closure_ev_whole(spark, sf_dir):
-    return closure.transitive_closure(all_event_edges(spark, sf_dir))
+def first_match_keys(spark, sf_dir):
+    """Names c1, c2, ... by path, else global import path, else local one: customers are files, global or local by their key."""
+    k = F.col("c_custkey")
+    customers = _t(spark, sf_dir, "customer").select(k, _key("c", "c_custkey").alias("name"), F.col("c_mktsegment").alias("segment"))
+    modules = customers.select(F.concat(F.lit("by-key-"), "name").alias("node"), F.when(k % 3 == 0, F.col("name")).alias("fs"), F.col("name").alias("py"), F.when(k % 2 == 0, F.col("segment")).alias("pkg"))
+    swapped = customers.where("c_custkey % 5 = 0").select(F.concat(F.lit("twin-"), "name").alias("node"), F.lit(None).cast("string").alias("fs"), F.col("name").alias("py"), F.lit("AAA").alias("pkg"))
+    return queries.first_match(_t(spark, sf_dir, "orders").select(_key("c", "o_custkey").alias("name")).distinct(), "name", modules.unionByName(swapped))
 
 
-def cycle_members_whole(spark, sf_dir):
-    return closure.cycle_members(closure_ev_whole(spark, sf_dir))
+def cycle_members(spark, sf_dir):
+    return closure.cycle_members(closure_ev(spark, sf_dir))
 
 
-def scc_components_whole(spark, sf_dir):
-    edges = materialise(all_event_edges(spark, sf_dir), "events")
+def scc_components(spark, sf_dir):
+    edges = materialise(event_edges(spark, sf_dir), "events")
     return closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
 
 
-def condensed_edges_whole(spark, sf_dir):
-    edges = materialise(all_event_edges(spark, sf_dir), "events")
+def condensed_edges(spark, sf_dir):
+    """Components of the event graph, in which each node also points at its event type, and the edges between them."""
+    steps = event_edges(spark, sf_dir)
+    edges = materialise(steps.unionByName(steps.select("src", F.regexp_replace("src", r"^u\d+", "").alias("dst"))).distinct(), "events")
     return closure.condense(edges, closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges))
 
 
@@ -195,25 +216,50 @@ def extract_links(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
 
 
+def _web(spark, sf_dir):
+    """F_web: what ``resolve`` gives for its links, and star imports of each language by web/index.py."""
+    found = _t(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[^:]*://[^/]*/([a-z]+)/(\d+)", 1).alias("lang"), F.regexp_extract("url", r"^[^:]*://[^/]*/([a-z]+)/(\d+)", 2).alias("number"), "html")
+    pages = materialise(found.where("lang <> ''").withColumn("path", F.concat(F.lit("web/"), "lang", F.lit("/"), "number", F.lit(".py"))), "web")
+    packages = pages.where(F.col("lang").isin(*PACKAGES)).select(F.concat(F.lit("web/"), "lang", F.lit("/__init__.py")).alias("path"))
+    files = materialise(pages.select("path").union(packages).distinct(), "web-files")
+    roots = spark.createDataFrame([("web", "web", False)], "fs_root string, py_prefix string, is_local boolean")
+    spaces = spark.createDataFrame([("web", "global")], "name string, kind string")
+    named = resolve.name_modules(resolve.admit(files), roots).withColumn("is_ns", F.lit(False))
+    none = F.lit(None).cast("string")
+    links = pages.select("path", "lang", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), 1)).alias("word"))
+    dep = F.concat(F.lit("web."), "lang", F.lit("."), F.translate("word", "./", "__"))
+    raw = links.select(F.col("path").alias("node"), F.col("path").alias("importer"), none.alias("pkg"), F.lit("web").alias("fs_root"), dep.alias("dep"))
+    stars = pages.select("lang").distinct().select(F.lit("web/index.py").alias("node"), F.lit("web/index.py").alias("importer"), none.alias("pkg"), F.lit("web").alias("fs_root"), F.concat(F.lit("web."), "lang", F.lit(".*")).alias("dep"))
+    return resolve.resolve(raw.unionByName(stars).distinct(), files, resolve.modules_of(named, roots), roots, spaces)
+
+
+def resolved_links(spark, sf_dir):
+    return _web(spark, sf_dir)[0]
+
+
 def unresolved_links(spark, sf_dir):
-    """Link targets that are no page's path, with how many pages name them."""
-    pages = url_paths(spark, sf_dir).select(F.expr("substring(url, length(substring_index(url, '/', 1)) + 1)").alias("href")).distinct()
-    lost = extract_links(spark, sf_dir).join(pages, "href", "left_anti")
-    return lost.groupBy("href").agg(F.count_distinct("page_id").alias("n_importers"))
+    """Languages that are no packages, with the pages that link to what isn't there."""
+    report = queries.unresolved_report(_web(spark, sf_dir)[1])
+    return report.select("target", F.size("importers").alias("n_importers"), F.array_join("importers", ",").alias("importers"))
+
+
+def named_modules(spark, sf_dir):
+    """Modules of files below two roots, one of them local and with a name of its own."""
+    path = F.concat(F.when(F.col("p_size") % 3 == 0, "lib/app/").when(F.col("p_size") % 3 == 1, "pkg/tests/").otherwise("other/"), F.lower("p_brand"), F.lit("/"), F.when(F.col("p_partkey") % 5 == 0, "__init__").otherwise(_key("m", "p_partkey")), F.lit(".py"))
+    files = _t(spark, sf_dir, "part").select(F.replace(path, F.lit("#"), F.lit("_")).alias("path")).distinct()
+    roots = spark.createDataFrame([("lib", "", False), ("pkg/tests", "checks", True)], "fs_root string, py_prefix string, is_local boolean")
+    return resolve.name_modules(files, roots).select("path", "module", "py", "pkg")
 
 
 def ranked_lookup(spark, sf_dir):
-    """For each page the best existing path of its host: its own with .html, its parent with /1 ... /299, the first that is a page."""
-    u = url_paths(spark, sf_dir)
-    numbered = F.transform(F.sequence(F.lit(1), F.lit(299)), lambda k: F.struct(k.alias("rank"), F.concat(paths.parent("url", "/"), F.lit("/"), k.cast("string")).alias("path")))
-    tries = F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.concat("url", F.lit(".html")).alias("path"))), numbered)
-    each = u.select("url", F.explode(tries).alias("t")).where("t.path IS NOT NULL AND t.path <> url")
-    hits = each.join(u.select(F.col("url").alias("__path")), F.col("t.path") == F.col("__path"), "left_semi")
-    return hits.groupBy("url").agg(F.min_by("t.path", "t.rank").alias("found"))
+    """Each customer of an order as a name below src: the first existing file of it, or of its parent."""
+    name = F.concat(F.lit("src.m"), (F.col("o_custkey") % 500).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".attr").otherwise(""))
+    wanted = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), name.alias("py")).withColumn("base", paths.dots_to_slashes("py"))
+    return resolve._ranked_files(wanted, _part_files(spark, sf_dir))
 
 
-def ranked_lookup_whole(spark, sf_dir):
-    """ranked_lookup with every number that a page of the parent has: a page's siblings are joined, not tried."""
+def sibling_lookup(spark, sf_dir):
+    """For each page the best existing path of its host: its own with .html, else the least number that a page of its parent has."""
     u = url_paths(spark, sf_dir)
     own = u.join(u.select(F.expr("substring(url, 1, length(url) - 5)").alias("__stem"), F.col("url").alias("__path")).where(F.col("__path").endswith(".html")), F.col("url") == F.col("__stem"))
     number = F.substring_index("url", "/", -1)
@@ -226,12 +272,24 @@ def ranked_lookup_whole(spark, sf_dir):
     return hits.groupBy("url").agg(F.min_by("__path", "__k").alias("found"))
 
 
-def admitted_files(spark, sf_dir):
-    """Admission over paths made from parts: a .py, .pyi or .pyx by key, some of them packages."""
+def module_or_parent_url(spark, sf_dir):
+    """For each page url the known prefix that it is or that its parent is."""
+    modules = url_prefixes(spark, sf_dir).select(F.replace(F.replace(F.replace("prefix", F.lit("/"), F.lit("·")), F.lit("."), F.lit("_")), F.lit("·"), F.lit(".")).alias("py"))
+    modules = modules.select(F.concat(F.lit("<"), "py", F.lit(">")).alias("node"), F.lit(None).cast("string").alias("fs"), "py", F.lit(None).cast("string").alias("pkg"))
+    names = url_paths(spark, sf_dir).select(F.replace(F.replace("url", F.lit("."), F.lit("_")), F.lit("/"), F.lit(".")).alias("name"))
+    return queries.module_or_parent(names, "name", modules)
+
+
+def _part_files(spark, sf_dir):
+    """Paths made from parts: a .py, .pyi or .pyx by key, some of them packages."""
     part = _t(spark, sf_dir, "part")
     stem = F.concat(F.lit("src/m"), (F.col("p_partkey") % 400).cast("string"))
     ending = F.when(F.col("p_partkey") % 11 == 0, "/__init__.py").when(F.col("p_size") % 3 == 0, ".py").when(F.col("p_size") % 3 == 1, ".pyi").otherwise(".pyx")
-    return resolve.admit(part.select(F.concat(stem, ending).alias("path")).distinct()).select("path")
+    return part.select(F.concat(stem, ending).alias("path")).distinct()
+
+
+def admitted_files(spark, sf_dir):
+    return resolve.admit(_part_files(spark, sf_dir)).select("path")
 
 
 def nearest_ancestor(spark, sf_dir):
@@ -290,10 +348,9 @@ def impact_deciles(spark, sf_dir):
     return select.gain_distribution(_impacts(spark, sf_dir))
 
 
-def _trace(spark, sf_dir, users: int | None = 40):
-    """Events as a trace: a user's type imports its next type; errors failed, some are ignored. Users are folded to ``users``, or not if None."""
-    user = F.col("user_id") % users if users else F.col("user_id")
-    node = F.concat(F.lit("u"), user.cast("string"), F.lit("."), F.col("event_type"))
+def _trace(spark, sf_dir):
+    """Events as a trace: a user's type imports its next type; errors failed, some are ignored."""
+    node = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("."), F.col("event_type"))
     nxt = F.lead(node).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     events = _t(spark, sf_dir, "events").select("event_id", "event_type", node.alias("context"), nxt.alias("module"))
     return events.where("module IS NOT NULL").select("context", "module", F.when(F.col("event_id") % 5 == 0, "error").otherwise("ok").alias("status"), (F.col("event_id") % 11 == 0).alias("is_ignored"))
@@ -303,19 +360,18 @@ def trace_observed(spark, sf_dir):
     return trace.observed_edges(_trace(spark, sf_dir))
 
 
-def trace_missing(spark, sf_dir):
-    """Observed pairs that the closure of a seventh of the events lacks."""
-    dotted = lambda c: F.regexp_replace(c, r"^(u\d+)", "$1.")
-    static = closure_ev(spark, sf_dir).select(dotted("src").alias("module"), dotted("dst").alias("dep"))
-    seen = trace.observed_edges(_trace(spark, sf_dir)).select(F.col("src").alias("module"), F.col("dst").alias("dep"))
-    return trace.missing(seen, static)
+def trace_tracked(spark, sf_dir):
+    """All that each context pulled in."""
+    return trace.tracked(_trace(spark, sf_dir))
 
 
-def trace_missing_whole(spark, sf_dir):
-    """Observed pairs that the closure of all events lacks: none but those with a module's parent."""
-    dotted = lambda c: F.regexp_replace(c, r"^(u\d+)", "$1.")
-    static = closure_ev_whole(spark, sf_dir).select(dotted("src").alias("module"), dotted("dst").alias("dep"))
-    seen = trace.observed_edges(_trace(spark, sf_dir, None)).select(F.col("src").alias("module"), F.col("dst").alias("dep"))
+def trace_missing(spark, sf_dir):
+    """Observed pairs that the closure of the events that cost something lacks."""
+    node = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("."), F.col("event_type"))
+    nxt = F.lead(node).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    static = _t(spark, sf_dir, "events").where("value > 20").select(node.alias("src"), nxt.alias("dst")).where("dst IS NOT NULL")
+    static = closure.transitive_closure(static).select(F.col("src").alias("module"), F.col("dst").alias("dep"))
+    seen = trace.observed_edges(_trace(spark, sf_dir)).select(F.col("src").alias("module"), F.col("dst").alias("dep"))
     return trace.missing(seen, static)
 
 
@@ -323,10 +379,6 @@ def trace_missing_by_package(spark, sf_dir):
     return _missing_by_package(spark, trace_missing(spark, sf_dir))
 
 
-def trace_missing_by_package_whole(spark, sf_dir):
-    return _missing_by_package(spark, trace_missing_whole(spark, sf_dir))
-
-
 def _missing_by_package(spark, lacking):
     found = lacking.select("module", "dep")
     packages = found.select("module").distinct().withColumn("pkg", paths.first_segment("module"))
@@ -335,13 +387,9 @@ def _missing_by_package(spark, lacking):
 
 
 def trace_with_dynamic(spark, sf_dir):
-    """Lines of every fiftieth order: parts count for a supplier's users."""
-    return _with_dynamic(_t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-def trace_with_dynamic_whole(spark, sf_dir):
-    """Lines of all orders."""
-    return _with_dynamic(_t(spark, sf_dir, "lineitem"))
+    """How many parts each order depends on, and the sum of their keys: its own, and those that its suppliers load."""
+    found = _with_dynamic(_t(spark, sf_dir, "lineitem"))
+    return found.groupBy("module").agg(F.count(F.lit(1)).alias("n_deps"), F.sum(F.expr("CAST(substring(dep, 2) AS BIGINT)")).alias("sum_keys"))
 
 
 def _with_dynamic(lines):
@@ -402,11 +450,11 @@ def module_violations(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        closure_fk, closure_ev, affected_region, affected_suppliers, depends_order, local_affected_by_segment, cycle_members, scc_components, condensed_edges, leaf_nodes, parent_reify_url,
-        parent_created_url, matches_url, longest_prefix_url, strict_prefix_url, suffixes_url, wildcard_children_url, tracked_urls, relative_import_base, extract_links, unresolved_links,
-        ranked_lookup, admitted_files, nearest_ancestor, modified_union, keep_predicate, residual_risk, impact_commits, impact_classes, impact_deciles, trace_observed, trace_missing,
-        trace_missing_by_package, trace_with_dynamic, dynamic_anchors, distinct_stacks, unexpected_per_item, rename_explode, recent_commits, module_violations,
-        closure_ev_whole, cycle_members_whole, scc_components_whole, condensed_edges_whole, trace_missing_whole, trace_missing_by_package_whole,
-        depends_order_whole, ranked_lookup_whole, trace_with_dynamic_whole,
+        closure_fk, closure_ev, affected_region, order_reach, depends_order, affected_suppliers, local_affected_by_segment, dynamic_edges_fk, leaf_edges_fk,
+        dynamic_exposure_fk, first_match_keys, cycle_members, scc_components, condensed_edges, leaf_nodes, parent_reify_url, parent_created_url, matches_url,
+        longest_prefix_url, strict_prefix_url, suffixes_url, wildcard_children_url, tracked_urls, relative_import_base, extract_links, resolved_links, unresolved_links,
+        named_modules, ranked_lookup, sibling_lookup, module_or_parent_url, admitted_files, nearest_ancestor, modified_union, keep_predicate, residual_risk,
+        impact_commits, impact_classes, impact_deciles, trace_observed, trace_tracked, trace_missing, trace_missing_by_package, trace_with_dynamic, dynamic_anchors,
+        distinct_stacks, unexpected_per_item, rename_explode, recent_commits, module_violations,
     )
 }

@@ -152,6 +152,9 @@ def test_save_load_and_dump(spark, graph, tmp_path):
 def test_typechecking_and_table_function(spark):
     source = TREE["lib/app/util.py"]
     assert "app.hidden" not in find_imports(source, "app.util") and {"app.hidden", "app.skipped"} <= set(find_imports(source, "app.util", True))
+    guarded = "if a:\n  import x\nelif TYPE_CHECKING:\n  import y\nelse:\n  import z\n"
+    assert find_imports(guarded, "m") == ["x", "y", "z"] and find_imports("if a:\n  import x\nelse:\n  if TYPE_CHECKING:\n    import y\n  else:\n    import z\n", "m") == ["x"]
+    assert find_imports("if typing.TYPE_CHECKING:\n  import x\nelif a:\n  import y\nelse:\n  import z\n", "m") == []
     assert find_imports("from .. import z", "a.b") == [] and find_imports("from . import z", "a.__init__") == ["a", "a.z"]
     assert find_imports("from .m import *", "a.b.c") == ["a.b.m", "a.b.m.*"]
     assert find_imports("import_module('p', 'q'); import_module(n); __import__", "m") == ["__import__"]

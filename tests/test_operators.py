@@ -256,3 +256,16 @@ def test_discovery(spark):
 def test_package_lists(spark, tmp_path):
     (tmp_path / "list").write_text("a/b:x.y\nc:d\n\n")
     assert tuples(storage.package_list(spark, f"@{tmp_path}/list")) == {("a/b", "x.y"), ("c", "d")} == tuples(storage.package_list(spark, "a/b:x.y,c:d"))
+
+
+def test_a_large_component_needs_no_pairs(spark, monkeypatch):
+    """20,000 nodes in one component by random edges, and a chain of small ones; the closure isn't asked."""
+    monkeypatch.setattr(closure, "transitive_closure", None)
+    n = 20_000
+    rng = random.Random(8)
+    rows = [(f"a{i}", f"a{rng.randrange(n)}") for i in range(n) for _ in range(8)] + [(f"b{i}{x}", f"b{i}{y}") for i in range(5) for x, y in ("pq", "qp")] + [(f"b{i}p", f"b{i + 1}p") for i in range(4)] + [("a0", "b0p"), ("b4q", "c")]
+    edges = spark.createDataFrame(rows, "src string, dst string").repartition(4)
+    got = closure.strong_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
+    sizes = {r.comp: r["count"] for r in got.groupBy("comp").count().collect()}
+    assert sizes.pop("c") == 1 and [sizes.pop(f"b{i}p") for i in range(5)] == [2] * 5
+    assert max(sizes.values()) > n * 0.99 and sum(sizes.values()) == n
