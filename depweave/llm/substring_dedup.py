@@ -45,7 +45,7 @@ WINDOW = 20
 ANCHOR = 6
 SLICE_BYTES = 1 << 20
 SHARD = 1 << 17
-GROUP = 500
+GROUP = 256
 LONGEST = 256
 #: Words beyond it are hashed one by one.
 LONG_WORD = 64
@@ -311,22 +311,30 @@ def repeats(source: DataFrame, text: str = "text", group: int = GROUP, shard: in
     secret = secrets.randbits(64)
     cut = materialise(_cut(source, text, secret), "segments")
     known = cut.where("key IS NULL").select("k", "first", "n")
-    wanted = cut.where("key IS NOT NULL")
-    wanted = wanted.join(_shared(wanted.select("key")), "key").groupBy("k").agg(F.collect_list(F.struct("first", "n", "key", "times")).alias("wanted"))
-    rows = _fetch(source, text, wanted, secret)
+    open_ = cut.where("key IS NOT NULL")
+    shared = _shared(open_.select("key"))
+
+    def wanted(keys: DataFrame) -> DataFrame:
+        return open_.join(keys, "key").groupBy("k").agg(F.collect_list(F.struct("first", "n", "key", "times")).alias("wanted"))
+
+    # Tables of their own, so that their size is known before the segments or the texts are shuffled for them: small ones are broadcast.
+    large = materialise(shared.where(F.col("times") > group), "large-keys")
+    rows = None if large.isEmpty() else _fetch(source, text, materialise(wanted(large), "wanted"), secret)
     level = 0
-    while True:
+    while rows is not None:
         groups = F.when(F.col("times") > group, F.ceil(F.col("times") / group)).otherwise(1)
         place = F.pmod(F.xxhash64("k", "first", F.lit(level)), groups)
-        dealt = rows.select(F.xxhash64("key", place).alias("deal"), (groups > 1).alias("more"), "k", "first", "words")
-        matches = materialise(_search(dealt, shard), "matches")
+        matches = materialise(_search(rows.select(F.xxhash64("key", place).alias("deal"), (groups > 1).alias("more"), "k", "first", "words"), shard), "matches")
         known = known.unionByName(matches.where("words IS NULL").select("k", "first", "n"))
         rest = matches.where("words IS NOT NULL")
-        if rest.isEmpty():
-            return known
         level += 1
+        if rest.isEmpty():
+            break
         again = materialise(_narrower(rest, min(level, 2)), "narrower")
         rows = again.join(_shared(again.select("key")), "key")
+    # Not a table of its own: the plan then takes the texts' shuffle from the one that the caller joins by k.
+    whole = _fetch(source, text, wanted(shared.where(F.col("times") <= group)), secret).select(F.col("key").alias("deal"), F.lit(False).alias("more"), "k", "first", "words")
+    return known.unionByName(_search(whole, shard).select("k", "first", "n"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP, shard: int = SHARD) -> DataFrame:
@@ -339,7 +347,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int =
     own = Sheltered(docs, made, [key, text])
     body, inner = own.of(text), own.inner
     keyed, unique = numbered(own.docs, own.of(key), body)
-    # Candidates' words and the last step take the same columns by the same key, so one shuffle of the texts serves both.
+    # Candidates' words and the last step take the same columns by the same key, so one shuffle of the texts serves both; the condition,
+    # which always holds, is what the inner join adds of its own.
+    keyed = keyed.where("k IS NOT NULL")
     gone = repeats(keyed if unique else keyed.dropDuplicates(["k"]), body, group, shard)
     gone = gone.groupBy("k").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
     out_schema = T.StructType([T.StructField(i, keyed.schema[i].dataType) for i in inner] + [T.StructField(n, t) for n, t in made.items()])
