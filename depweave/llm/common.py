@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from depweave.session import materialise, scratch_path
 
-__all__ = ["Sheltered", "flat", "lean", "materialise", "pieces_of", "scratch_path", "small_batches", "text_bytes"]
+__all__ = ["Sheltered", "flat", "give_back", "lean", "materialise", "pieces_of", "scratch_path", "small_batches", "text_bytes"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -31,14 +31,19 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not a GNU C library
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(name: str = "text") -> Column:
     """The column as UTF-8 bytes, null as empty: Arrow then hands over bytes without validating them."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

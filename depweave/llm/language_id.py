@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import Sheltered, lean, materialise, pieces_of, small_batches, text_bytes
+from depweave.llm.common import Sheltered, give_back, lean, materialise, pieces_of, small_batches, text_bytes
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 TRAIN_DOCS = 2000
@@ -130,7 +130,7 @@ class Pieces:
                 if not k:
                     found = np.where(found == self.n, self.n + 1, found)
                 if (found != self.n).any():
-                    out[i, i + k + 1] = found
+                    out[i, i + k + 1] = found.astype(np.int32)
         return out
 
 
@@ -269,16 +269,17 @@ def fit_one(words: list[str], count: np.ndarray, path: str = VOCABULARY, rounds:
     groups = []
     for n in np.unique(size[size <= LONG_WORD]):
         rows = np.flatnonzero(size == n)
-        for a in range(0, len(rows), 50_000):
-            some = rows[a : a + 50_000]
-            groups.append((int(n) + 1, table.lattice(np.array([[START, *map(ord, words[i])] for i in some])), count[some][:, None]))
+        for a in range(0, len(rows), 10_000):
+            some = rows[a : a + 10_000]
+            groups.append((int(n) + 1, np.array([[START, *map(ord, words[i])] for i in some], dtype=np.int32), count[some][:, None]))
     long = np.flatnonzero(size > LONG_WORD)
     long_words, long_count = [words[i] for i in long], count[long]
     p = np.full((table.n + 2, 1), 1 / table.n)
     p[-2], p[-1] = 0, UNKNOWN
     for _ in range(rounds):
         expected = long_counts(long_words, long_count, p[:, 0], table)
-        for n, lattice, times in groups:
+        for n, code, times in groups:
+            lattice = table.lattice(code)  # anew each round: kept for all words it would be the largest thing in memory
             alpha, beta = forward(lattice, p, n, len(times)), backward(lattice, p, n, len(times))
             weight = times / alpha[-1]
             for (i, j), ids in lattice.items():
@@ -332,6 +333,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     def fitted(table: pa.Table) -> pa.Table:
         table = table.sort_by("word")  # sums don't depend on the order of rows then
         p = fit_one(table["word"].to_pylist(), table["n"].to_numpy().astype(float), path)
+        give_back()
         return pa.table({"lang": table["lang"].slice(0, 1), "p": pa.array([p.astype("<f8").tobytes()], pa.binary())})
 
     words = sample.mapInArrow(lean(split), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
