@@ -23,9 +23,11 @@ def session(app: str = "depweave", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where that is unset (tests, one machine) a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset on a local master, as executors elsewhere don't share it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="depweave-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
