@@ -15,7 +15,7 @@ and is never expanded into pairs. Buckets above ``BUCKET`` fingerprints are deal
 remaining bits, one of which a pair must share; that loses nothing.
 
 Null ids take part but never name a component unless it has no other id; repeated rows share one fingerprint; an empty
-table gives an empty table; other columns are not looked at.
+table gives an empty table; other columns are not looked at. Very long texts are hashed whole, ``CHUNK`` shingles at a time.
 """
 
 from __future__ import annotations
