@@ -49,6 +49,8 @@ GROUP = 256
 LONGEST = 256
 #: Words beyond it are hashed one by one.
 LONG_WORD = 64
+#: Bits of the filter in ``_holding``: 2,048 bitmaps of 4 KB, so 8 MB whatever the tables' size.
+FILTER = 1 << 26
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -229,6 +231,16 @@ def _fetch(docs: DataFrame, text: str, wanted: DataFrame, secret: int) -> DataFr
     return docs.join(wanted, "k").mapInArrow(lean(run), "key long, times long, k long, first long, words binary")
 
 
+def _holding(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (with k) without most of the rows whose k isn't in wanted, before anything is shuffled. Keeps all that are in it: a bit may stand
+    for several k, so with very many wanted ones it merely leaves out less. The bitmaps are broadcast; ``FILTER`` bounds them."""
+    place = F.pmod(F.xxhash64("k"), F.lit(FILTER)) + 1
+    bits = wanted.select(F.bitmap_bucket_number(place).alias("map"), F.bitmap_bit_position(place).alias("bit")).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumns({"map": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)}).join(F.broadcast(bits), "map")
+    return marked.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select(docs.columns)
+
+
 def _search(rows: DataFrame, shard: int) -> DataFrame:
     """Step 3. rows: deal, more (whether its group is one of several), k, first, words. Rows (k, first, n, words): repeats with null words; what ``more`` leaves open with its words."""
 
@@ -319,7 +331,10 @@ def repeats(source: DataFrame, text: str = "text", group: int = GROUP, shard: in
 
     # Tables of their own, so that their size is known before the segments or the texts are shuffled for them: small ones are broadcast.
     large = materialise(shared.where(F.col("times") > group), "large-keys")
-    rows = None if large.isEmpty() else _fetch(source, text, materialise(wanted(large), "wanted"), secret)
+    rows = None
+    if not large.isEmpty():
+        asked = materialise(wanted(large), "wanted")
+        rows = _fetch(_holding(source.select("k", text), asked), text, asked, secret)
     level = 0
     while rows is not None:
         groups = F.when(F.col("times") > group, F.ceil(F.col("times") / group)).otherwise(1)

@@ -161,3 +161,13 @@ def test_query_against_sql(spark):
 def test_empty_table(spark):
     assert D.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert D.dedup(spark.createDataFrame([(1, "a b")], "doc_id long, text string").withColumn("n_words", F.lit("clash"))).first().n_words == 2
+
+
+def test_filter_keeps_what_is_wanted(spark):
+    rng = random.Random(8)
+    ks = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)] + [0, -1, 1]
+    docs = spark.createDataFrame([(k, "x") for k in ks], "k long, text string")
+    wanted = spark.createDataFrame([(k,) for k in ks[::3]], "k long")
+    got = {r.k for r in D._holding(docs, wanted).collect()}
+    assert set(ks[::3]) <= got and len(got) < 1010
+    assert D._holding(docs, wanted.limit(0)).isEmpty() and D._holding(docs, wanted).columns == ["k", "text"]
