@@ -13,9 +13,10 @@ Otherwise one row comes out for each identifier, and for each row without one; s
 ``orphan`` (result without call) or ``unidentified``; every other message is a valid row of status ``other``.
 
 Topological order: (order_turn, order_hop) rises from each call to those that depend on it and starts at the call's own turn, so
-conversations whose calls only look back are done at once. From the others calls without open dependencies are peeled off round by round,
-and only what is left goes on; what no longer shrinks is in or behind a cycle, has a null order and the error ``cycle``. So rounds
-are as many as the longest chain of calls in a conversation that looks forward; cycles add none. Null turns count as turn 0.
+conversations whose calls only look back are done at once. In the others each round closes the dependencies that are ready and jumps over
+those that wait for a single other one, so a chain or tree takes rounds as the logarithm of its length; only calls that wait for several
+others take a round for each on their longest chain. What no longer shrinks is in or behind a cycle, has a null order and the
+error ``cycle``; cycles add no rounds. Null turns count as turn 0.
 
 Arguments are parsed as JSON; errors are sorted and joined by ``;``. The canonical JSON has sorted keys, no spaces and
 the arguments as parsed. Null and empty arguments or contents are kept (null arguments are invalid). Rows are never
@@ -25,6 +26,7 @@ empty tables give an empty table; other columns, whatever their names, are not l
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 from typing import Any
 
@@ -42,6 +44,8 @@ SCHEMAS: Schemas = {
     }
 }
 ID = ["conv_id", "call_id"]
+HOPS = 1 << 40  # more than any way without a cycle has; ways in cycles double each round
+TABLES = 16
 
 
 def errors_of(name: Column, parsed: Column, schemas: Schemas) -> Column:
@@ -77,6 +81,27 @@ def errors_of(name: Column, parsed: Column, schemas: Schemas) -> Column:
     return F.when(not_object, F.array(F.lit("arguments: no JSON object"))).otherwise(per_tool)
 
 
+def _gathered(ways: DataFrame) -> DataFrame:
+    """(conv_id, call_id, at, open), one row a call: the greatest place known and the longest way to each open dependency. ways: conv_id, call_id, at, dep (null: none), hops."""
+    listed = F.array_sort(F.collect_list(F.when(F.col("dep").isNotNull(), F.struct("dep", "hops"))))
+    last = lambda way, i: F.coalesce(F.get("open", i + 1)["dep"] != way["dep"], F.lit(True))
+    return ways.groupBy(*ID).agg(F.max("at").alias("at"), listed.alias("open")).withColumn("open", F.filter("open", last))
+
+
+def _round(now: DataFrame) -> DataFrame:
+    """The open calls of ``now`` after a round: first dependencies that are ready are closed, then those with a single one open are jumped over."""
+    later = F.greatest("at", F.when(F.col("reached").isNotNull(), F.struct(F.col("reached.turn").alias("turn"), (F.col("reached.hop") + F.col("hops")).alias("hop")))).alias("at")
+    ways = now.where(F.size("open") > 0).select(*ID, "at", F.inline("open"))
+    ready = now.where(F.size("open") == 0).select("conv_id", F.col("call_id").alias("dep"), F.col("at").alias("reached"))
+    closed = _gathered(ways.join(ready, ["conv_id", "dep"], "left").select(*ID, later, F.when(F.col("reached").isNull(), F.col("dep")).alias("dep"), "hops"))
+    ways = closed.select(*ID, "at", F.inline_outer("open")).withColumn("__to", F.coalesce("dep", "call_id"))
+    met = ways.join(closed.select("conv_id", F.col("call_id").alias("__to"), F.col("at").alias("reached"), F.col("open").alias("__next")), ["conv_id", "__to"])
+    over = F.size("__next") == 1
+    step = F.get("__next", F.lit(0))
+    hops = F.when(over, F.least(F.col("hops") + step["hops"], F.lit(HOPS))).otherwise(F.col("hops"))
+    return _gathered(met.select(*ID, later, F.when(over, step["dep"]).otherwise(F.col("dep")).alias("dep"), hops.alias("hops")))
+
+
 def topological(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, order_turn, order_hop, lost (a dependency names no call); calls: one row an identifier."""
     nodes = calls.select(*ID, F.coalesce("turn", F.lit(0)).cast("long").alias("order_turn"), F.lit(0).cast("long").alias("order_hop"))
@@ -90,25 +115,21 @@ def topological(calls: DataFrame) -> DataFrame:
     forward = edges.join(calls.select(*ID, turn.alias("own_turn")), ID).join(before, ["conv_id", "dep"]).where("dep_turn >= own_turn").select("conv_id").distinct()
     forward = materialise(forward, "looks-forward")
     if not forward.isEmpty():
-        edges = materialise(edges.join(forward, "conv_id", "left_semi"), "call-edges")
-        counted = edges.groupBy(*ID).agg(F.count(F.lit(1)).alias("n_open"))
-        rest = nodes.join(forward, "conv_id", "left_semi").join(counted, ID, "left")
-        rest = materialise(rest.select(*ID, F.col("order_turn").alias("turn"), F.coalesce("n_open", F.lit(0)).alias("n_open"), F.lit(None).cast("struct<turn:bigint,hop:bigint>").alias("after")), "open-calls")
-        done = nodes.join(forward, "conv_id", "left_anti")
+        own = nodes.join(forward, "conv_id", "left_semi").select(*ID, F.struct(F.col("order_turn").alias("turn"), F.col("order_hop").alias("hop")).alias("at"))
+        now = materialise(_gathered(own.join(edges, ID, "left").withColumn("hops", F.lit(1).cast("long"))), "ready-calls")
+        done, before = [nodes.join(forward, "conv_id", "left_anti")], None
         while True:
-            late = F.coalesce(F.col("after.turn") >= F.col("turn"), F.lit(False))
-            ready = rest.where("n_open = 0").select(*ID, F.when(late, F.col("after.turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(late, F.col("after.hop") + 1).otherwise(0).cast("long").alias("order_hop"))
-            ready = materialise(ready, "ready-calls")
-            if ready.isEmpty():
+            done.append(now.where(F.size("open") == 0).select(*ID, F.col("at.turn").alias("order_turn"), F.col("at.hop").alias("order_hop")))
+            if len(done) > TABLES:
+                done = [materialise(functools.reduce(DataFrame.unionByName, done), "ordered-calls")]
+            left = now.where(F.size("open") > 0).count()
+            if left in (0, before):
                 break
-            done = done.unionByName(ready)
-            named = ready.select("conv_id", F.col("call_id").alias("dep"), F.struct(F.col("order_turn").alias("turn"), F.col("order_hop").alias("hop")).alias("at"))
-            met = edges.join(named, ["conv_id", "dep"]).groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
-            edges = materialise(edges.join(named, ["conv_id", "dep"], "left_anti"), "call-edges")
-            left = rest.where("n_open > 0").join(met, ID, "left")
-            rest = materialise(left.select(*ID, "turn", (F.col("n_open") - F.coalesce("n", F.lit(0))).alias("n_open"), F.greatest("after", "at").alias("after")), "open-calls")
-        nothing = F.lit(None).cast("long")
-        nodes = done.unionByName(rest.select(*ID, nothing.alias("order_turn"), nothing.alias("order_hop")))
+            before = left
+            now = materialise(_round(now), "ready-calls")
+        nothing = F.lit(None).cast("long").alias
+        stuck = now.where(F.size("open") > 0).select(*ID, nothing("order_turn"), nothing("order_hop"))
+        nodes = functools.reduce(DataFrame.unionByName, [*done, stuck])
     return nodes.join(lost, ID, "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
 
 

@@ -82,6 +82,35 @@ def test_cycles_take_no_rounds_of_their_own(spark, monkeypatch):
     assert (got[1, "end"].order_turn, got[1, "end"].order_hop) == (300, 1)
 
 
+def test_chains_and_trees_take_few_rounds(spark, monkeypatch):
+    """A chain of 300 calls that looks forward, a tree over it, calls of several dependencies and a cycle of three, against a plain loop."""
+    rounds = []
+    write = C.materialise
+
+    def counted(df, name):
+        rounds.append(name)
+        assert rounds.count("ready-calls") <= 20
+        return write(df, name)
+
+    monkeypatch.setattr(C, "materialise", counted)
+    calls = [call(f"c{i}", deps=[f"c{i + 1}"] if i < 299 else None, turn=i) for i in range(300)]
+    calls += [call(f"t{i}", deps=[f"t{(i - 1) // 3}" if i else "c4"], turn=i % 7) for i in range(60)]
+    calls += [call(f"m{i}", deps=[f"m{i - 1}", f"m{i - 2}", f"c{9 * i}"] if i > 1 else ["t50"], turn=500 - 50 * i) for i in range(5)]
+    calls += [call(f"o{i}", deps=[f"o{(i + 1) % 3}"], turn=i) for i in range(3)] + [call("p", deps=["o1", "c8"], turn=3)]
+    got = run(spark, calls)
+    of, place = {c[1]: c for c in calls}, {}
+
+    def at(i):
+        if i not in place:
+            place[i] = max([(of[i][2], 0), *((t, h + 1) for t, h in map(at, of[i][5] or []))])
+        return place[i]
+
+    for i in of:
+        r = got[1, i]
+        assert (r.order_turn, r.order_hop) == ((None, None) if i[0] in "op" else at(i)), i
+        assert ("cycle" in r.errors) == (i[0] in "op")
+
+
 def test_forward_references_and_cycles_against_sql(spark, tmp_path):
     rows = [(c, t, ["system", "user", "assistant", "user"][(t + c) % 4], f"{c}.{t}") for c in range(12) for t in range(3 * c) if (t * c) % 7 != 6]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
