@@ -92,6 +92,38 @@ def test_few_random_pairs_are_candidates():
     assert (n * (n - 1.0)).sum() / (len(x) * (len(x) - 1.0)) < 1e-4
 
 
+def at_threshold(n, d, cosine, seed):
+    """Pairs of unit vectors of that cosine."""
+    rng = np.random.default_rng(seed)
+    x = L.units(rng.normal(size=(n, d)))
+    g = rng.normal(size=x.shape)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * L.units(g - (g * x).sum(axis=1, keepdims=True) * x)
+
+
+def meet(x, y, plan):
+    return np.array([bool(set(p) & set(q)) for p, q in zip(L.cells(x, plan).tolist(), L.cells(y, plan).tolist())])
+
+
+@pytest.mark.parametrize("d", [8, 16, 64, 256])
+def test_cells_of_every_size_find_as_many_as_those_of_small_tables(d):
+    x, y = at_threshold(3000, d, 0.9, d)
+    found = meet(x, y, L.PLAN).mean()
+    assert found > 0.985 and found > meet(x, y, L.PLANS[0][1]).mean() - 0.003
+
+
+def test_links_do_not_depend_on_the_number_of_vectors(spark, monkeypatch):
+    """Pairs that the cells of small tables and those of larger ones find differently: more rows, unlike any of them, change nothing."""
+    (_, small), (_, large) = L.PLANS[:2]
+    monkeypatch.setattr(L, "PLANS", ((150, small), (float("inf"), large)))
+    x, y = at_threshold(2000, 64, 0.9005, 9)
+    apart = np.flatnonzero(meet(x, y, small) != meet(x, y, large))[:40]
+    pairs = np.stack([x[apart], y[apart]], axis=1).reshape(-1, 64)
+    more = L.units(np.random.default_rng(10).normal(size=(150, 64)))
+    few, many = ({r.vec_id: tuple(r) for r in L.near_duplicates(table(spark, v)).collect()} for v in (pairs, np.concatenate([pairs, more])))
+    assert len(apart) == 40 and {i: many[i] for i in few} == few
+    assert sum(few[i][1] for i in few) > 0 and all(many[i][1] == 0 for i in many if i not in few)
+
+
 def brute(v, ok):
     n = len(v)
     u = np.array([x / np.linalg.norm(x) if o else np.zeros(len(v[0])) for x, o in zip(v.astype(float), ok)])
