@@ -199,6 +199,26 @@ def test_traces(spark):
     assert tuples(trace.drop_frames(one(spark, "file", "a.py", "importlib.py"), ["importlib.py"])) == {("a.py",)}
 
 
+@pytest.mark.parametrize(("pack", "anchors"), [(1024, 100_000), (4, 0)])
+@pytest.mark.parametrize("kind", ["even", "one dep of all", "one module of all", "none", "few deps"])
+def test_totals_are_those_of_the_pairs(spark, monkeypatch, kind, pack, anchors):
+    monkeypatch.setattr(trace, "PACK", pack)
+    monkeypatch.setattr(trace, "FEW_ANCHORS", anchors)
+    rng = random.Random(kind)
+    users = [(rng.randrange(20), rng.randrange(30)) for _ in range(60)] + [(None, 1), (3, None)]
+    imports = [] if kind == "none" else [(rng.randrange(30), rng.randrange(3 if kind == "few deps" else 40)) for _ in range(150)] + [(None, 1), (3, None)]
+    own = [(rng.randrange(22), rng.randrange(-1, 45)) for _ in range(40)] + [(4, d) for d in range(9)] + [(None, 1), (3, None)]
+    if kind == "one dep of all":
+        imports += [(a, 7) for a in range(30)]
+    if kind == "one module of all":
+        users += [(5, a) for a in range(30)]
+    got = trace.dynamic_totals(*(spark.createDataFrame(r + r[:9], c) for r, c in ((own, "module long, dep long"), (users, "module long, anchor long"), (imports, "anchor long, dep long"))))
+    want = {}
+    for m, d in {r for r in own if None not in r} | {(m, d) for m, a in users for b, d in imports if a == b and None not in (m, a, d)}:
+        want.setdefault(m, set()).add(d)
+    assert sorted(map(tuple, got.collect())) == sorted((m, len(d), sum(d)) for m, d in want.items())
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True)
     run("init", "-q", "-b", "main")
