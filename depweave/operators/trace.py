@@ -17,6 +17,8 @@ from depweave.session import materialise
 PACK = 1024
 #: Anchors up to which their totals are broadcast: some 6 MB.
 FEW_ANCHORS = 100_000
+#: How many times fewer rows the pairs of anchors that share a dep must promise than the pairs of modules and deps.
+FEWER = 4
 #: Bits of the filter in ``_sharing``: 2,048 bitmaps of 4 KB, so 8 MB whatever the tables' size.
 FILTER = 1 << 26
 
@@ -59,14 +61,14 @@ def dynamic_totals(tracked_: DataFrame, users: DataFrame, imports: DataFrame) ->
 
     tracked (module, dep), users (module, anchor), imports (anchor, dep); deps are whole numbers that name no module, rows may repeat, rows with nulls are left out.
     The totals of a module's anchors are added up, and what several of them import, or the module has itself, is taken off again: it is found by the pairs of
-    anchors that share a dep. Modules whose pairs of anchors would (on the mean of all pairs) find more rows than there are deps, and deps with so many importers that pairs of
-    those would be more than their uses, are counted by their distinct pairs instead.
+    anchors that share a dep. Modules whose pairs of anchors would (on the mean of all pairs) find more than a fourth (``FEWER``) as many rows as there are deps, and deps with so
+    many importers that pairs of those would be more than a fourth of their uses, are counted by their distinct pairs instead.
     """
     seen = imports.select("anchor", F.col("dep").cast("long").alias("dep")).dropna().distinct()
     seen = materialise(seen.withColumn("importers", F.count(F.lit(1)).over(W.partitionBy("dep"))), "imports")
     used = users.select("module", "anchor").dropna()
     size = seen.agg(F.count_distinct("anchor").alias("anchors"), F.max("importers").alias("importers")).first()
-    most = 2 * used.count() // max(1, size["anchors"]) + 1
+    most = 2 * used.count() // (FEWER * max(1, size["anchors"])) + 1
     light = F.col("importers") <= most
     left = seen.where(light).select(F.col("anchor").alias("first"), "dep")
     shared = materialise(left.join(seen.where(light), "dep").where("first < anchor").select("first", "anchor", "dep"), "shared")
@@ -81,7 +83,7 @@ def dynamic_totals(tracked_: DataFrame, users: DataFrame, imports: DataFrame) ->
     packed = rows.groupBy("module", "rows", "part").agg(F.sort_array(F.collect_list("anchor")).alias("anchors"), F.collect_list("dep").alias("deps"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "keys")))
     packed = materialise(packed, "modules")
     k, d = (F.size(c).cast("long") for c in ("anchors", "deps"))
-    by_pairs = (F.col("rows") <= PACK) & (k * (k - 1) / 2 * common + k * d <= F.col("n") + d)
+    by_pairs = (F.col("rows") <= PACK) & (FEWER * (k * (k - 1) / 2 * common + k * d) <= F.col("n") + d)
     few, many = packed.where(by_pairs), packed.where(~by_pairs)
     pairs = few.where(k > 1).select("module", "anchors", F.posexplode("anchors").alias("i", "first")).select("module", "first", F.explode(F.expr("slice(anchors, i + 2, size(anchors))")).alias("anchor"))
     twice = _sharing(pairs, shared).join(shared, ["first", "anchor"]).select("module", "anchor", "dep")

@@ -204,10 +204,12 @@ def test_traces(spark):
 def test_totals_are_those_of_the_pairs(spark, monkeypatch, kind, pack, anchors):
     monkeypatch.setattr(trace, "PACK", pack)
     monkeypatch.setattr(trace, "FEW_ANCHORS", anchors)
+    made, sharing = [], trace._sharing
+    monkeypatch.setattr(trace, "_sharing", lambda a, b: made.append((a.count(), sharing(a, b).count())) or sharing(a, b))
     rng = random.Random(kind)
-    users = [(rng.randrange(20), rng.randrange(30)) for _ in range(60)] + [(None, 1), (3, None)]
-    imports = [] if kind == "none" else [(rng.randrange(30), rng.randrange(3 if kind == "few deps" else 40)) for _ in range(150)] + [(None, 1), (3, None)]
-    own = [(rng.randrange(22), rng.randrange(-1, 45)) for _ in range(40)] + [(4, d) for d in range(9)] + [(None, 1), (3, None)]
+    users = [(rng.randrange(60), rng.randrange(30)) for _ in range(200)] + [(None, 1), (3, None)]
+    imports = [] if kind == "none" else [(rng.randrange(30), rng.randrange(3 if kind == "few deps" else 200)) for _ in range(600)] + [(None, 1), (3, None)]
+    own = [(rng.randrange(62), rng.randrange(-1, 220)) for _ in range(40)] + [(4, d) for d in range(9)] + [(None, 1), (3, None)]
     if kind == "one dep of all":
         imports += [(a, 7) for a in range(30)]
     if kind == "one module of all":
@@ -217,6 +219,7 @@ def test_totals_are_those_of_the_pairs(spark, monkeypatch, kind, pack, anchors):
     for m, d in {r for r in own if None not in r} | {(m, d) for m, a in users for b, d in imports if a == b and None not in (m, a, d)}:
         want.setdefault(m, set()).add(d)
     assert sorted(map(tuple, got.collect())) == sorted((m, len(d), sum(d)) for m, d in want.items())
+    assert made[0][0] > made[0][1] > 5 or kind in ("none", "few deps")
 
 
 def test_git(spark, tmp_path):
