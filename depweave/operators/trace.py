@@ -15,7 +15,7 @@ from depweave.session import materialise
 
 #: Anchors and deps of a module that one array of ``dynamic_totals`` holds at most.
 PACK = 1024
-#: Anchors up to which their totals are broadcast: some 6 MB.
+#: Anchors up to which their totals are broadcast: some 6 MB (reckoned, not measured).
 FEW_ANCHORS = 100_000
 #: How many times fewer rows the pairs of anchors that share a dep must promise than the pairs of modules and deps.
 FEWER = 4
